@@ -46,4 +46,6 @@ def load_all() -> None:
         anomaly,
         http,
         safety,
+        retrieval,
+        topology,
     )
