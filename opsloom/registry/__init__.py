@@ -48,4 +48,6 @@ def load_all() -> None:
         safety,
         retrieval,
         topology,
+        response,
+        evaluation,
     )
