@@ -24,10 +24,12 @@ class FieldRule:
 
 def typed(rule: FieldRule, text: Column) -> Column:
     """The text of a JSON field as the rule's type; null where it does not parse."""
+    # The JSON parser hands an overflowing number over as "Infinity", quotes included.
+    bare = F.btrim(text, F.lit('"'))
     if rule.kind == "float":
-        return text.try_cast("double")
+        return bare.try_cast("double")
     if rule.kind == "int":
-        number = text.try_cast("double")
+        number = bare.try_cast("double")
         whole = number.between(-2147483648, 2147483647) & (number == F.floor(number))
         return F.when(whole, number.cast("int"))
     if rule.kind == "bool":
