@@ -13,6 +13,14 @@ PII_PATTERNS = {
     "EMAIL": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,7}\b",
     "PHONE": r"\b(?:\+?1[-.]?)?\(?[2-9]\d{2}\)?[-.]?\d{3}[-.]?\d{4}\b",
 }
+# What a text must contain before a pattern can match: a linear scan instead of backtracking.
+NEEDED = {
+    "SSN": r"\d{4}",
+    "CREDIT_CARD": r"\d{4}",
+    "API_KEY": r"(?i)sk-|akia",
+    "EMAIL": r"@",
+    "PHONE": r"\d{4}",
+}
 INJECTION_SIGNATURES = (
     r"ignore\s+(all\s+)?(previous|prior)\s+instructions?",
     r"system\s*:?\s*override",
@@ -30,18 +38,47 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), F.lit(0))
 
 
-def redaction_steps(text: Column) -> list[tuple[str, Column, Column]]:
-    """(kind, matches, text after) per pattern, each on the text the previous one left."""
-    steps = []
-    for kind, pattern in PII_PATTERNS.items():
-        matches = F.regexp_count(text, F.lit(f"(?i){pattern}"))
-        text = F.regexp_replace(text, f"(?i){pattern}", f"<REDACTED_{kind}>")
-        steps.append((kind, matches, text))
-    return steps
+def redaction(text: Column) -> Column:
+    """STRUCT<text, matches, kinds>: the patterns applied in order, each on the text the
+    previous one left.
+
+    Each step is a lambda over a one-element array, which binds the running text to a name:
+    written as nested calls, every step would evaluate all earlier ones several times.
+    """
+    none = F.array().cast("array<string>")
+    state = F.array(F.struct(text.alias("text"), F.lit(0).alias("matches"), none.alias("kinds")))
+    for kind in PII_PATTERNS:
+        state = F.transform(F.transform(state, _counted(kind)), _replaced(kind))
+    return state[0]
+
+
+def _counted(kind: str):
+    def step(s: Column) -> Column:
+        possible = F.coalesce(s["text"].rlike(NEEDED[kind]), F.lit(False))
+        matches = F.regexp_count(s["text"], F.lit(f"(?i){PII_PATTERNS[kind]}"))
+        found = F.when(possible, matches).otherwise(0)
+        return F.struct(
+            s["text"].alias("text"),
+            s["matches"].alias("matches"),
+            s["kinds"].alias("kinds"),
+            found.alias("n"),
+        )
+
+    return step
+
 
+def _replaced(kind: str):
+    def step(s: Column) -> Column:
+        clean = F.regexp_replace(s["text"], f"(?i){PII_PATTERNS[kind]}", f"<REDACTED_{kind}>")
+        hit = s["n"] > 0
+        kinds = F.when(hit, F.array_append(s["kinds"], F.lit(kind))).otherwise(s["kinds"])
+        return F.struct(
+            F.when(hit, clean).otherwise(s["text"]).alias("text"),
+            (s["matches"] + s["n"]).alias("matches"),
+            kinds.alias("kinds"),
+        )
 
-def redacted_text(text: Column) -> Column:
-    return redaction_steps(text)[-1][2]
+    return step
 
 
 def injection_reason(text: Column) -> Column:

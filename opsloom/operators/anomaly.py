@@ -286,6 +286,18 @@ def rolling_ingest(
     return shown(result)
 
 
+def _merged(metric: str) -> tuple[Column, Column]:
+    """Mean and deviation of two adjacent runs from their counts, means and variances."""
+    na, nb = F.coalesce("_sn", F.lit(0)), F.coalesce("_pn", F.lit(0))
+    ma, mb = F.coalesce(f"_s_{metric}", F.lit(0.0)), F.coalesce(f"_p_{metric}", F.lit(0.0))
+    va, vb = F.coalesce(f"_sv_{metric}", F.lit(0.0)), F.coalesce(f"_pv_{metric}", F.lit(0.0))
+    n = na + nb
+    apart = mb - ma
+    mean = F.when(na == 0, mb).otherwise(ma + apart * nb / n)
+    spread = va * na + vb * nb + F.when(na == 0, 0.0).otherwise(apart * apart * na * nb / n)
+    return mean, F.sqrt(spread / n)
+
+
 def rolling_zscore(
     events: DataFrame,
     seq: str = "seq",
@@ -296,37 +308,61 @@ def rolling_zscore(
 ) -> DataFrame:
     """Verdicts against the previous ``window`` events, accepted or not; no Python involved.
 
-    Beyond a size check a service is cut into blocks of its arrival order, each preceded by
-    a copy of the ``window`` events before it, so that no task sorts a whole hot service.
+    A sliding frame would add up ``window`` rows for every event. Instead arrival order is
+    cut into runs of ``window`` events; the frame before an event is the tail of one run
+    plus the head of the next, so running statistics from both ends of each run, merged per
+    event, give the frame at constant cost. Means and variances are merged, not sums of
+    squares, so nothing cancels and a constant frame has deviation 0 exactly.
+
+    Beyond a size check a service is also cut into blocks, each preceded by a copy of the
+    ``window`` events before it, so that no task orders a whole hot service.
     """
-    rows = events
-    keys = ["service_name"]
     if split is None:
         split = not fits_one_task(events)
+    ranked = arrival_rank(events, ["service_name"], seq, "_pos", split=split)
+    ranked = ranked.withColumn("_run", F.floor((F.col("_pos") - 1) / F.lit(window)))
+    run = W.partitionBy("service_name", "_run")
+    head = run.orderBy("_pos").rowsBetween(W.unboundedPreceding, 0)
+    tail = run.orderBy(F.col("_pos").desc()).rowsBetween(W.unboundedPreceding, 0)
+    running = {"_hn": F.count(F.lit(1)).over(head), "_tn": F.count(F.lit(1)).over(tail)}
+    for m in METRICS:
+        running[f"_h_{m}"] = F.avg(m).over(head)
+        running[f"_hv_{m}"] = F.var_pop(m).over(head)
+        running[f"_t_{m}"] = F.avg(m).over(tail)
+        running[f"_tv_{m}"] = F.var_pop(m).over(tail)
+    rows = ranked.withColumns(running)
+
+    keys = ["service_name"]
     if split:
         block_rows = max(block_rows, window)
-        ranked = arrival_rank(events, keys, seq, "_pos", split=True)
         block = F.floor((F.col("_pos") - 1) / F.lit(block_rows))
         in_tail = (F.col("_pos") - 1) % block_rows >= block_rows - window
         copies = F.when(in_tail, F.array(block, block + 1)).otherwise(F.array(block))
-        rows = ranked.withColumn("_home", block).withColumn("_block", F.explode(copies))
+        rows = rows.withColumn("_home", block).withColumn("_block", F.explode(copies))
         keys = ["service_name", "_block"]
-    frame = W.partitionBy(*keys).orderBy(seq).rowsBetween(-window, -1)
-    stats = {"_n": F.count(F.lit(1)).over(frame)}
+    order = W.partitionBy(*keys).orderBy("_pos")
+    shifted = {"_pn": F.lag("_hn", 1).over(order)}
+    # The tail of the run before is part of the frame except right at the start of a run.
+    inside = (F.col("_pos") - 1) % window > 0
+    shifted["_sn"] = F.when(inside, F.lag("_tn", window).over(order))
     for m in METRICS:
-        stats[f"_{m}_mean"] = F.avg(m).over(frame)
-        stats[f"_{m}_std"] = F.stddev_pop(m).over(frame)
-    scored = rows.withColumns(stats)
+        shifted[f"_p_{m}"] = F.lag(f"_h_{m}", 1).over(order)
+        shifted[f"_pv_{m}"] = F.lag(f"_hv_{m}", 1).over(order)
+        shifted[f"_s_{m}"] = F.when(inside, F.lag(f"_t_{m}", window).over(order))
+        shifted[f"_sv_{m}"] = F.when(inside, F.lag(f"_tv_{m}", window).over(order))
+    scored = rows.withColumns(shifted)
     if split:
         scored = scored.where(F.col("_home") == F.col("_block"))
-    ready = F.col("_n") >= warmup
+    size = F.coalesce("_pn", F.lit(0)) + F.coalesce("_sn", F.lit(0))
+    ready = size >= warmup
     verdicts = []
     for m in METRICS:
-        std = F.when(F.col(f"_{m}_std") == 0, 1.0).otherwise(F.col(f"_{m}_std"))
-        verdicts.append(zscore(m, F.col(m), F.when(ready, F.col(f"_{m}_mean")), std))
+        mean, std = _merged(m)
+        std = F.when(std == 0, 1.0).otherwise(std)
+        verdicts.append(zscore(m, F.col(m), F.when(ready, mean), F.when(ready, std)))
     return scored.select(
         *events.columns,
         F.when(ready, "SCORED").otherwise("WARMING_UP").alias("status"),
-        F.col("_n").alias("baseline_events"),
+        size.alias("baseline_events"),
         F.array(*verdicts).alias("scores"),
     )

@@ -45,9 +45,11 @@ def training_sample(events: DataFrame, row_id: str, trees: int, psi: int, seed:
     total = events.count()
     base = events.select(F.col(row_id).alias("_id"), *[F.col(m).cast("double").alias(m) for m in METRICS])
     base = base.withColumn("_h", F.xxhash64("_id", F.lit(seed)))
-    if total > wanted * OVERSAMPLE:
-        limit = int(-(2**63) + (2**64) * (wanted * OVERSAMPLE / total))
-        pool = base.where(F.col("_h") < limit).orderBy("_h", "_id").limit(wanted)
+    if total >= wanted:
+        if total > wanted * OVERSAMPLE:
+            limit = int(-(2**63) + (2**64) * (wanted * OVERSAMPLE / total))
+            base = base.where(F.col("_h") < limit)
+        pool = base.orderBy("_h", "_id").limit(wanted)
         place = F.row_number().over(W.partitionBy(F.lit(1)).orderBy("_h", "_id")) - 1
         return pool.withColumn("tree", (place % trees).cast("int")).drop("_h")
     each = base.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))

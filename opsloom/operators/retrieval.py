@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from opsloom.functions.barrier import evaluated_once
 from opsloom.functions.text import tokens
 from opsloom.plans.durable import durable
 from opsloom.plans.ranking import ordered_rank
@@ -52,7 +53,11 @@ class CorpusIndex:
 
 
 def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> CorpusIndex:
-    """The lengths ride along with the exploded terms, so no join brings them back."""
+    """The lengths ride along with the exploded terms, so no join brings them back.
+
+    ``explode_outer`` and a filter on its result, here and below: for a plain ``explode``
+    Spark infers a filter on the array and evaluates the tokeniser again, below any shuffle.
+    """
     words = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("_tokens"))
     sized = words.select(
         "doc_id",
@@ -61,14 +66,18 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         "_tokens",
     )
     postings = (
-        sized.select("doc_id", "doc_len", "doc_terms", F.explode("_tokens").alias("term"))
+        sized.select("doc_id", "doc_len", "doc_terms", F.explode_outer("_tokens").alias("term"))
+        .where("term is not null")
         .groupBy("doc_id", "doc_len", "doc_terms", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    terms = postings.groupBy("term").agg(
+    return CorpusIndex(postings, term_table(postings), sized.drop("_tokens"), fits_one_task(docs))
+
+
+def term_table(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("term").agg(
         F.count(F.lit(1)).alias("doc_freq"), F.sum("tf").alias("total_tf")
     )
-    return CorpusIndex(postings, terms, sized.drop("_tokens"), fits_one_task(docs))
 
 
 def write_index(index: CorpusIndex, path: str) -> None:
@@ -76,7 +85,8 @@ def write_index(index: CorpusIndex, path: str) -> None:
     found in a third of all documents is spread over many files."""
     by_term = index.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
     by_term.write.mode("overwrite").parquet(f"{path}/postings")
-    index.terms.write.mode("overwrite").parquet(f"{path}/terms")
+    stored = index.postings.sparkSession.read.parquet(f"{path}/postings")
+    term_table(stored).write.mode("overwrite").parquet(f"{path}/terms")
     index.documents.write.mode("overwrite").parquet(f"{path}/documents")
 
 
@@ -95,8 +105,9 @@ def query_terms(queries: DataFrame) -> DataFrame:
     words = queries.select("query_id", tokens(F.col("query")).alias("_t"))
     return (
         words.select(
-            "query_id", F.size(F.array_distinct("_t")).alias("query_terms"), F.explode("_t").alias("term")
+            "query_id", F.size(F.array_distinct("_t")).alias("query_terms"), F.explode_outer("_t").alias("term")
         )
+        .where("term is not null")
         .groupBy("query_id", "query_terms", "term")
         .agg(F.count(F.lit(1)).alias("qtf"))
     )
@@ -110,16 +121,21 @@ def match_scores(queries: DataFrame, index: CorpusIndex) -> DataFrame:
     of the query and is added at the end.
     """
     n_docs, mean_len = index.totals()
+    words = query_terms(queries)
+    # Only postings of words somebody asks for are aggregated and shuffled: the semi-join
+    # moves below the aggregations of an index that is built on the fly.
+    vocabulary = words.select("term").distinct()
+    postings = index.postings.join(vocabulary, "term", "left_semi")
+    terms = index.terms.join(vocabulary, "term", "left_semi")
     asked = (
-        query_terms(queries)
-        .join(index.terms.select("term", "doc_freq"), "term")
+        words.join(terms.select("term", "doc_freq"), "term")
         .withColumn("weight", F.col("qtf") * F.log((n_docs + 1) / F.col("doc_freq")))
     )
     floor = asked.groupBy("query_id").agg((F.sum("weight") * DELTA).alias("floor"))
     length_norm = K1 * (1 - B + B * F.col("doc_len") / F.col("mean_len"))
     part = F.col("weight") * F.col("tf") * (K1 + 1) / (length_norm + F.col("tf"))
     pairs = (
-        index.postings.withColumn("mean_len", mean_len)
+        postings.withColumn("mean_len", mean_len)
         .join(asked.select("query_id", "query_terms", "term", "weight"), "term")
         .groupBy("query_id", "doc_id")
         .agg(
@@ -233,8 +249,8 @@ def chunk_documents(
     stride = size - overlap
     words = F.regexp_extract_all(F.col(text), F.lit(r"\S+\s*"), F.lit(0))
     last = F.ceil(F.greatest(F.lit(0), F.col("_n") - size) / F.lit(stride)).cast("int")
-    split = docs.select(doc_id, source, words.alias("_words")).withColumn("_n", F.size("_words"))
-    windows = split.where("_n > 0").select(
+    split = evaluated_once(docs.select(doc_id, source, text), "_words", words)
+    windows = split.withColumn("_n", F.size("_words")).where("_n > 0").select(
         doc_id, source, "_words", F.explode(F.sequence(F.lit(0), last)).alias("chunk_index")
     )
     part = F.slice("_words", F.col("chunk_index") * stride + 1, F.lit(size))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opsloom.functions.text import injection_reason, redaction_steps
+from opsloom.functions.barrier import evaluated_once
+from opsloom.functions.text import injection_reason, redaction
 
 CLEAN = "Clean input"
 
@@ -20,14 +21,12 @@ ROLE_TOOLS = {
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds clean_text, redacted_count and detected_entities (kinds in pattern order)."""
-    steps = redaction_steps(F.col(text))
-    count = sum((matches for _, matches, _ in steps), F.lit(0))
-    kinds = F.array_compact(F.array(*[F.when(m > 0, F.lit(k)) for k, m, _ in steps]))
-    return df.select(
-        "*",
-        steps[-1][2].alias("clean_text"),
-        count.alias("redacted_count"),
-        kinds.alias("detected_entities"),
+    judged = evaluated_once(df, "_redaction", redaction(F.col(text)))
+    return judged.select(
+        *df.columns,
+        F.col("_redaction.text").alias("clean_text"),
+        F.col("_redaction.matches").alias("redacted_count"),
+        F.col("_redaction.kinds").alias("detected_entities"),
     )
 
 

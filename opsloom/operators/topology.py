@@ -9,6 +9,8 @@ from opsloom.plans.durable import durable
 
 # Rounds after which the pairs found so far are written as one table again.
 COMPACT_ROUNDS = 8
+# Distinct edges up to which every task gets a copy of them; counted before it is decided.
+BROADCAST_EDGES = 200_000
 
 
 def closure(edges: DataFrame, roots: DataFrame | None = None, reverse: bool = False) -> DataFrame:
@@ -23,15 +25,17 @@ def closure(edges: DataFrame, roots: DataFrame | None = None, reverse: bool = Fa
         .select(F.col(a).alias("from"), F.col(b).alias("to"))
         .distinct()
     )
-    start = step if roots is None else step.join(
-        roots.select(F.col(roots.columns[0]).alias("from")).distinct(), "from", "left_semi"
-    )
+    start = step
+    if roots is not None:
+        wanted = roots.select(F.col(roots.columns[0]).alias("from")).distinct()
+        start = durable(step.join(wanted, "from", "left_semi"))
+    hop = F.broadcast(step) if step.count() <= BROADCAST_EDGES else step
     frontier = start.select(F.col("from").alias("root"), F.col("to").alias("node"))
     reached = frontier
     rounds = 0
     while True:
         ahead = (
-            frontier.join(step, frontier["node"] == step["from"])
+            frontier.join(hop, F.col("node") == F.col("from"))
             .select("root", F.col("to").alias("node"))
             .distinct()
         )

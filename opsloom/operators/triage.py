@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from opsloom.functions.barrier import evaluated_once
 from opsloom.functions.faults import DIAGNOSIS, SEVERITY, by_fault, classify_fault
-from opsloom.functions.text import injection_reason, redacted_text
+from opsloom.functions.text import injection_reason, redaction
 from opsloom.operators.textsafety import authorized
 
 ROLLBACK = "execute_deployment_rollback"
@@ -24,7 +24,7 @@ def security_gate(tickets: DataFrame) -> DataFrame:
     return judged.select(
         *kept,
         flagged.alias("security_flagged"),
-        F.when(flagged, F.col("description")).otherwise(redacted_text(F.col("description"))).alias("description"),
+        F.when(flagged, F.col("description")).otherwise(redaction(F.col("description"))["text"]).alias("description"),
         F.when(flagged, "escalated").otherwise("pending").alias("review_status"),
         F.when(flagged, F.concat(F.lit("QUARANTINED: "), "_reason")).alias("resolution_notes"),
     )

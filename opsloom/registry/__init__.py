@@ -18,14 +18,18 @@ def rounded(sql: str, digits: int) -> str:
 
 
 class Views:
-    """Attribute access to base tables and derived views of one data folder."""
+    """Attribute access to base tables and derived views of one data folder.
+
+    Each relation is resolved once per query; they are lazy plans, nothing is cached.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        self._plans: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        return domain_view(self.spark, self.sf_dir, name)
+        return domain_view(self.spark, self.sf_dir, name, self._plans)
 
 
 def query(name: str, sql: str | None = None):

@@ -11,6 +11,11 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from opsloom.plans.sizing import planned_bytes
+
+# What a scan packs into one split by default.
+SPLIT_BYTES = 128 * 1024 * 1024
+
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations"
@@ -226,23 +231,44 @@ def _fill(text: str, tokens: dict[str, str], relation) -> str:
     return _TOKEN.sub(swap, text)
 
 
+# Row ids of the tables whose rows are costly to process.
+ROW_IDS = {"events": "event_id", "documents": "doc_id", "conversations": "conv_id"}
+
+
 def base_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A base table; one that arrives in fewer splits than there are cores is spread out.
+
+    A table of many files has its splits already and is left as it is.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in ROW_IDS and len(df.inputFiles()) < cores:
+        size = planned_bytes(df)
+        if size is not None and size < cores * SPLIT_BYTES:
+            return df.repartition(cores, ROW_IDS[name])
+    return df
 
 
-def domain_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A base table or a derived view as a lazy DataFrame."""
+def domain_view(
+    spark: SparkSession, sf_dir: str, name: str, plans: dict[str, DataFrame] | None = None
+) -> DataFrame:
+    """A base table or a derived view as a lazy DataFrame; ``plans`` keeps resolved ones."""
+    plans = {} if plans is None else plans
+    if name in plans:
+        return plans[name]
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     if name in BASE_TABLES:
-        return base_table(spark, sf_dir, name)
+        plans[name] = base_table(spark, sf_dir, name)
+    else:
 
-    def relation(dep: str) -> str:
-        view = f"opsloom_{dep}"
-        domain_view(spark, sf_dir, dep).createOrReplaceTempView(view)
-        return view
+        def relation(dep: str) -> str:
+            view = f"opsloom_{dep}"
+            domain_view(spark, sf_dir, dep, plans).createOrReplaceTempView(view)
+            return view
 
-    return spark.sql(_fill(VIEWS[name], SPARK_TOKENS, relation))
+        plans[name] = spark.sql(_fill(VIEWS[name], SPARK_TOKENS, relation))
+    return plans[name]
 
 
 def _needed(text: str, found: list[str]) -> None:
