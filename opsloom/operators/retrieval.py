@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from opsloom.functions.barrier import evaluated_once
 from opsloom.functions.text import tokens
 from opsloom.plans.durable import durable
-from opsloom.plans.ranking import ordered_rank
+from opsloom.plans.ranking import SLICE_ROWS, ordered_rank
 from opsloom.plans.sizing import fits_one_task
 
 # BM25+ constants, the rank constant of the fusion and the answer texts.
@@ -207,9 +207,10 @@ def rrf_search(
     scored = match_scores(queries, index)
     if split is None:
         split = not index.small
+    slices = None
     if split:
         scored = durable(scored)
-    slices = None if not split else 200
+        slices = max(200, scored.count() // SLICE_ROWS)
     by_bm25 = [F.col("bm25").desc(), F.col("doc_id")]
     by_overlap = [F.col("overlap").desc(), F.col("doc_id")]
     ranked = ordered_rank(scored, ["query_id"], by_bm25, "sparse_rank", split, slices)
@@ -248,16 +249,18 @@ def chunk_documents(
     """
     stride = size - overlap
     words = F.regexp_extract_all(F.col(text), F.lit(r"\S+\s*"), F.lit(0))
-    last = F.ceil(F.greatest(F.lit(0), F.col("_n") - size) / F.lit(stride)).cast("int")
     split = evaluated_once(docs.select(doc_id, source, text), "_words", words)
-    windows = split.withColumn("_n", F.size("_words")).where("_n > 0").select(
-        doc_id, source, "_words", F.explode(F.sequence(F.lit(0), last)).alias("chunk_index")
-    )
-    part = F.slice("_words", F.col("chunk_index") * stride + 1, F.lit(size))
-    body = F.rtrim(F.array_join(part, ""))
-    chunks = windows.select(
-        doc_id, source, "chunk_index", body.alias("chunk_text"), F.size(part).alias("token_count")
-    )
+
+    def window(i):
+        part = F.slice("_words", i * stride + 1, F.lit(size))
+        body = F.rtrim(F.array_join(part, ""))
+        return F.struct(i.alias("chunk_index"), body.alias("chunk_text"), F.size(part).alias("token_count"))
+
+    # The windows are cut inside the row; exploding first would copy all words per window.
+    count = F.size("_words")
+    last = F.ceil(F.greatest(F.lit(0), count - size) / F.lit(stride)).cast("int")
+    windows = F.when(count > 0, F.transform(F.sequence(F.lit(0), last), window))
+    chunks = split.select(doc_id, source, F.explode(windows).alias("_c")).select(doc_id, source, "_c.*")
     key = F.concat_ws(":", F.col(source), F.col("chunk_index").cast("string"), F.substring("chunk_text", 1, 30))
     return chunks.withColumn("chunk_id", F.substring(F.sha2(key, 256), 1, 16))
 

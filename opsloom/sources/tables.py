@@ -23,6 +23,9 @@ BASE_TABLES = (
 
 SPARK_TOKENS = {
     "K": "cast(get_json_object(props, '$.k') as int)",
+    # A generator, so that filters on k do not parse the JSON again for every mention.
+    "KCOL": "k",
+    "KFROM": "lateral view explode(array(cast(get_json_object(props, '$.k') as int))) parsed as k",
     "TS": "cast(ts as timestamp)",
     "START": "date_format(o_orderdate, 'yyyy-MM-dd HH:mm:ss')",
     "END": "date_format(timestampadd(SECOND, cast(floor(o_totalprice) as bigint) % 14400, "
@@ -33,6 +36,8 @@ SPARK_TOKENS = {
 }
 SQL_TOKENS = {
     "K": "cast(json_extract_string(props, '$.k') as int)",
+    "KCOL": "cast(json_extract_string(props, '$.k') as int) as k",
+    "KFROM": "",
     "TS": "ts",
     "START": "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')",
     "END": "strftime(o_orderdate + to_seconds(cast(floor(o_totalprice) as bigint) % 14400), "
@@ -63,6 +68,8 @@ def _case(subject: str, values: list[str]) -> str:
 
 
 VIEWS = {
+    "keyed_events": """
+        select event_id, user_id, event_type, value, {TS} as ts, {KCOL} from {events} {KFROM}""",
     # Telemetry as it arrives: about one row in eight breaks a bound.
     "raw_telemetry": """
         select cast(event_id as string) as event_id,
@@ -72,7 +79,7 @@ VIEWS = {
           case when event_id % 97 = 0 then 700
             when event_type = 'error' then 500 + cast(event_id % 5 as int) else 200 end as status_code,
           ts, event_id as seq
-        from (select event_id, user_id, event_type, value, {TS} as ts, {K} as k from {events}) e""",
+        from {keyed_events}""",
     "telemetry": """
         select * from {raw_telemetry} where cpu_percent between 0 and 100
           and memory_percent between 0 and 100 and latency_ms >= 0
@@ -95,8 +102,7 @@ VIEWS = {
             ',"status_code":', case when event_id % 97 = 0 then '700'
                when event_type = 'error' then cast(500 + event_id % 5 as string)
                when event_id % 31 = 0 then '200.5' else '200' end, '}') end as payload
-        from (select event_id, user_id, event_type, {TS} as ts, {K} as k,
-          cast(floor(value * 100E0 + 0.5E0) as bigint) as cents from {events}) e""",
+        from (select *, cast(floor(value * 100E0 + 0.5E0) as bigint) as cents from {keyed_events}) e""",
     "raw_incidents": """
         select concat('TKT-', cast(o_orderkey as string)) as ticket_id,
           concat('svc-', cast(o_custkey % 12 as string)) as service_name,
