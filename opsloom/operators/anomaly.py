@@ -26,6 +26,9 @@ WINDOW_EVENTS = 500
 # events per fold beyond that.
 FOLD_BYTES = 16 * 1024 * 1024
 FOLD_ROWS = 200_000
+# Events scored at once while none of them is anomalous.
+SHORTEST_BLOCK = 32
+LONGEST_BLOCK = 512
 # Events per block of the feedback-free variant.
 BLOCK_ROWS = 500_000
 
@@ -119,8 +122,7 @@ class RollingWindow:
 
     def __init__(self, state: Sequence[float] | None = None, window: int = WINDOW_EVENTS):
         self.window = window
-        self.kept = 0
-        self.samples = np.empty((len(METRICS), window * 8))
+        self.samples = np.empty((len(METRICS), window * 2 + 8 * LONGEST_BLOCK))
         self.end = 0
         if state is not None and len(state):
             block = np.asarray(state, dtype=float).reshape(-1, len(METRICS)).T
@@ -137,52 +139,81 @@ class RollingWindow:
     def view(self) -> np.ndarray:
         return self.samples[:, self.start : self.end]
 
-    def append(self, sample: np.ndarray) -> int:
-        if self.end == self.samples.shape[1]:
+    def append(self, samples: np.ndarray) -> int:
+        """Adds samples (metrics x events, or one event); returns the size of the window."""
+        samples = samples.reshape(len(METRICS), -1)
+        count = samples.shape[1]
+        if self.end + count > self.samples.shape[1]:
             tail = self.view().copy()
             self.end = tail.shape[1]
             self.samples[:, : self.end] = tail
-        self.samples[:, self.end] = sample
-        self.end += 1
+        self.samples[:, self.end : self.end + count] = samples
+        self.end += count
         return len(self)
 
     def state(self) -> list[float]:
         return self.view().T.reshape(-1).tolist()
 
 
+def _verdicts(frames: np.ndarray, samples: np.ndarray) -> tuple:
+    """Scores of samples (metrics x events) against their frames (metrics x events x window)."""
+    mean = frames.mean(axis=2)
+    std = frames.std(axis=2)
+    std[std == 0] = 1.0
+    z = (samples - mean) / std
+    worst = np.abs(np.round(z, 2)).argmax(axis=0)
+    size = np.abs(np.take_along_axis(z, worst[None, :], axis=0)[0])
+    return z, mean, worst, size
+
+
 def fold_events(window: RollingWindow, values: np.ndarray, warmup: int = WARMUP_EVENTS) -> list[tuple]:
-    """Scores the rows of ``values`` (events x metrics) in order, updating ``window``."""
-    out = []
-    for sample in values:
+    """Scores the rows of ``values`` (events x metrics) in order, updating ``window``.
+
+    Once the window is full, a block of events is scored as if all of them were accepted.
+    Up to and including the first anomaly that is what happens; the block is cut there and
+    the next one starts behind it.
+    """
+    out: list[tuple] = []
+    at, block = 0, SHORTEST_BLOCK
+    while at < len(values):
+        full = len(window) == window.window
+        samples = values[at : at + (block if full else 1)].T
         if len(window) < warmup:
-            size = window.append(sample)
+            size = window.append(samples)
             out.append(("WARMING_UP", size, None, None, None, None, None, None, None, None, None))
+            at += 1
             continue
-        history = window.view()
-        mean = history.mean(axis=1)
-        std = history.std(axis=1)
-        std[std == 0] = 1.0
-        z = (sample - mean) / std
-        worst = max(range(len(METRICS)), key=lambda i: abs(round(float(z[i]), 2)))
-        size = abs(float(z[worst]))
-        anomalous = size > Z_THRESHOLD
-        severity = "NORMAL"
-        if anomalous:
-            severity = "CRITICAL" if size >= Z_THRESHOLD * CRITICAL_FACTOR else "WARNING"
-        events = len(window) if anomalous else window.append(sample)
-        out.append(
-            (
-                "SCORED",
-                events,
-                METRICS[worst],
-                anomalous,
-                min(1.0, size / (Z_THRESHOLD * 2)),
-                severity,
-                float(sample[worst]),
-                float(mean[worst]),
-                *z.tolist(),
+        known = window.view()
+        line = np.concatenate([known, samples], axis=1)
+        frames = np.lib.stride_tricks.sliding_window_view(line, known.shape[1], axis=1)
+        frames = np.ascontiguousarray(frames[:, : samples.shape[1]])
+        z, mean, worst, size = _verdicts(frames, samples)
+        anomalous = np.flatnonzero(size > Z_THRESHOLD)
+        stop = int(anomalous[0]) + 1 if len(anomalous) else samples.shape[1]
+        accepted = samples[:, : stop - 1] if len(anomalous) else samples
+        first = len(window)
+        window.append(accepted)
+        for k in range(stop):
+            flagged = bool(size[k] > Z_THRESHOLD)
+            severity = "NORMAL"
+            if flagged:
+                severity = "CRITICAL" if size[k] >= Z_THRESHOLD * CRITICAL_FACTOR else "WARNING"
+            w = int(worst[k])
+            out.append(
+                (
+                    "SCORED",
+                    first if full or flagged else first + 1,
+                    METRICS[w],
+                    flagged,
+                    min(1.0, float(size[k]) / (Z_THRESHOLD * 2)),
+                    severity,
+                    float(samples[w, k]),
+                    float(mean[w, k]),
+                    *z[:, k].tolist(),
+                )
             )
-        )
+        at += stop
+        block = SHORTEST_BLOCK if len(anomalous) else min(block * 2, LONGEST_BLOCK)
     return out
 
 

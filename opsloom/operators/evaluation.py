@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opsloom.functions.numeric import tidy
+from opsloom.functions.numeric import exact_round, tidy
 from opsloom.operators.triage import awaiting
 
 # Words without meaning for grounding, suffixes in order, and the gates.
@@ -58,7 +58,7 @@ def overlap_scores(samples: DataFrame, contexts: str = "contexts") -> DataFrame:
 
     def share(of: str, within: str) -> Column:
         both = F.size(F.array_intersect(F.col(of), F.col(within)))
-        return tidy(both / F.greatest(F.lit(1), F.size(of)), 3)
+        return exact_round(both / F.greatest(F.lit(1), F.size(of)), 3)
 
     useful = F.filter(contexts, lambda c: F.arrays_overlap(content_words(c), F.col("_t")))
     precision = F.size(useful) / F.greatest(F.lit(1), F.size(contexts))
@@ -67,16 +67,24 @@ def overlap_scores(samples: DataFrame, contexts: str = "contexts") -> DataFrame:
         share("_a", "_c").alias("faithfulness"),
         share("_t", "_c").alias("context_recall"),
         share("_t", "_a").alias("answer_relevance"),
-        tidy(precision, 3).alias("context_precision"),
+        exact_round(precision, 3).alias("context_precision"),
     )
 
 
 def grounding_gate(
     scores: DataFrame, min_faithfulness: float = MIN_FAITHFULNESS, min_recall: float = MIN_RECALL
 ) -> DataFrame:
-    """Means of the rounded scores and the gate; no samples, no row."""
+    """Means of the rounded scores and the gate; no samples, no row.
+
+    Scores have three digits, so their sum is formed in thousandths: exact in any order.
+    """
     names = ("faithfulness", "context_recall", "answer_relevance", "context_precision")
-    means = scores.agg(F.count(F.lit(1)).alias("_n"), *[tidy(F.avg(n), 3).alias(n) for n in names])
+
+    def mean(name: str) -> Column:
+        thousandths = F.sum(F.round(F.col(name) * 1000).cast("bigint"))
+        return exact_round(thousandths / 1000.0 / F.count(F.lit(1)), 3)
+
+    means = scores.agg(F.count(F.lit(1)).alias("_n"), *[mean(n).alias(n) for n in names])
     passed = (F.col("faithfulness") >= min_faithfulness) & (F.col("context_recall") >= min_recall)
     return means.where("_n > 0").select(*names, passed.alias("passed_gate"))
 

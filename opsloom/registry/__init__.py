@@ -17,6 +17,13 @@ def rounded(sql: str, digits: int) -> str:
     return f"cast(round(cast({sql} as decimal(28, 9)), {digits}) as double)"
 
 
+def exactly_rounded(sql: str) -> str:
+    """Check-side rounding of a share to three digits by its binary value, ties to even."""
+    part = f"cast(floor(({sql}) * 1000) as hugeint)"
+    over = f"(cast(({sql}) * 4611686018427387904::double as hugeint) * 2000 - (2 * {part} + 1) * 4611686018427387904::hugeint)"
+    return f"(({part} + case when {over} > 0 or ({over} = 0 and {part} % 2 = 1) then 1 else 0 end)::double / 1000)"
+
+
 class Views:
     """Attribute access to base tables and derived views of one data folder.
 

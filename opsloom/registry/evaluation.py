@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from opsloom.functions.faults import RUNBOOKS, by_fault, classify_fault
 from opsloom.operators import anomaly, evaluation
-from opsloom.registry import Views, query, rounded
+from opsloom.registry import Views, exactly_rounded, query, rounded
 from opsloom.registry.anomaly import SCORED_SQL
 from opsloom.registry.response import GATED_SQL, executed, fault_sql, map_sql
 from opsloom.sources.tables import TICKET_TEMPLATES
@@ -30,11 +30,10 @@ def content_words(v: Views):
 
 SCORES_SQL = f"""words as (select sample_id, {words_sql("context_a || ' ' || context_b")} as c, {words_sql("answer")} as a,
     {words_sql("ground_truth")} as t, {words_sql("context_a")} as c1, {words_sql("context_b")} as c2 from {{rag_samples}}),
-scores as (select sample_id,
-    {rounded("len(list_intersect(a, c)) / greatest(1, len(a))", 3)} as faithfulness,
-    {rounded("len(list_intersect(t, c)) / greatest(1, len(t))", 3)} as context_recall,
-    {rounded("len(list_intersect(t, a)) / greatest(1, len(t))", 3)} as answer_relevance,
-    {rounded("(list_has_any(c1, t)::int + list_has_any(c2, t)::int) / 2", 3)} as context_precision from words)"""
+shares as (select sample_id, len(list_intersect(a, c)) / greatest(1, len(a)) as f, len(list_intersect(t, c)) / greatest(1, len(t)) as r,
+    len(list_intersect(t, a)) / greatest(1, len(t)) as v, (list_has_any(c1, t)::int + list_has_any(c2, t)::int) / 2 as p from words),
+scores as (select sample_id, {exactly_rounded("f")} as faithfulness, {exactly_rounded("r")} as context_recall,
+    {exactly_rounded("v")} as answer_relevance, {exactly_rounded("p")} as context_precision from shares)"""
 SCORE_COLUMNS = "faithfulness context_recall answer_relevance context_precision".split()
 
 
@@ -50,7 +49,7 @@ def rag_overlap_scores(v: Views):
 
 @query(
     "rag_gate",
-    f"""with {SCORES_SQL}, means as (select {", ".join(f"{rounded(f'avg({c})', 3)} as {c}" for c in SCORE_COLUMNS)} from scores)
+    f"""with {SCORES_SQL}, means as (select {", ".join(f"{exactly_rounded(f'sum(cast(round({c} * 1000) as bigint))::double / 1000.0::double / count(*)')} as {c}" for c in SCORE_COLUMNS)} from scores)
     select *, faithfulness >= 0.85 and context_recall >= 0.80 as passed_gate from means""",
 )
 def rag_gate(v: Views):

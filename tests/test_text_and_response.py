@@ -313,6 +313,8 @@ def test_grounding_golden(spark):
     assert four(got["grounded"]) == (0.875, 0.833, 0.833, 1.0)
     assert four(got["thin"]) == (0.7, 0.5, 0.875, 1.0)
     assert got["made_up"]["faithfulness"] < 0.2
+    both = evaluation.grounding_gate(evaluation.overlap_scores(df.where("name <> 'made_up'"))).first()
+    assert tuple(both) == (0.787, 0.666, 0.854, 1.0, False)
     assert evaluation.grounding_gate(evaluation.overlap_scores(df.where("name = 'grounded'"))).first()["passed_gate"]
     assert not evaluation.grounding_gate(evaluation.overlap_scores(df.where("name = 'thin'"))).first()["passed_gate"]
     assert evaluation.grounding_gate(evaluation.overlap_scores(df.where("false"))).count() == 0
@@ -373,3 +375,12 @@ def test_histogram_quantile_edges(spark):
     top = httpmetrics.latency_quantile(log, 0.95, range_us=httpmetrics.MINUTE, step_us=httpmetrics.MINUTE).first()
     low = httpmetrics.latency_quantile(log, 0.5, range_us=httpmetrics.MINUTE, step_us=httpmetrics.MINUTE).first()
     assert top["quantile_s"] == 5.0 and low["quantile_s"] == pytest.approx(0.01)
+
+
+def test_exact_rounding_agrees_with_python(spark):
+    from opsloom.functions.numeric import exact_round
+
+    shares = sorted({a / b for b in range(1, 130) for a in range(b + 1)} | {i / 2000 for i in range(2001)})
+    df = spark.createDataFrame([(x,) for x in shares], "x double")
+    got = {r["x"]: r["y"] for r in df.select("x", exact_round(F.col("x"), 3).alias("y")).collect()}
+    assert got == {x: round(x, 3) for x in shares}
