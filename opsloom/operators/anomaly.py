@@ -141,7 +141,7 @@ class RollingWindow:
 
     def append(self, samples: np.ndarray) -> int:
         """Adds samples (metrics x events, or one event); returns the size of the window."""
-        samples = samples.reshape(len(METRICS), -1)
+        samples = np.asarray(samples, dtype=float).reshape(len(METRICS), -1)
         count = samples.shape[1]
         if self.end + count > self.samples.shape[1]:
             tail = self.view().copy()
