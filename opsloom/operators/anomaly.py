@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from opsloom.functions.numeric import tidy
 from opsloom.plans.durable import durable
 from opsloom.plans.ranking import arrival_rank
-from opsloom.plans.sizing import fits_one_task
+from opsloom.plans.sizing import fits_one_task, small_side
 
 # Metrics in scoring order, thresholds, window and warm-up.
 METRICS = ("cpu_percent", "memory_percent", "latency_ms")
@@ -69,7 +69,7 @@ def zscore_score(
     events: DataFrame, baseline: DataFrame, key: str = "service_name", threshold: float = Z_THRESHOLD
 ) -> DataFrame:
     """Adds ``scores``: one verdict per metric. Services without a baseline score 0."""
-    joined = events.join(baseline, key, "left")
+    joined = events.join(small_side(baseline), key, "left")
     verdicts = [
         zscore(m, F.col(m), F.col(f"{m}_mean"), F.col(f"{m}_std"), threshold) for m in METRICS
     ]

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from opsloom.plans.ranking import arrival_rank
+from opsloom.plans.sizing import small_side
 
 # The served routes, histogram bounds, probe endpoints and the request limit.
 ROUTES = (
@@ -219,7 +220,7 @@ def fixed_window_limit(
         .agg(F.max(F.struct(*order)).alias("_last"))
     )
     return (
-        windowed.join(cut, ["client", "window_start"])
+        windowed.join(small_side(cut), ["client", "window_start"])
         .withColumn("limited", F.struct(*order) > F.col("_last"))
         .withColumn("answer", F.when(F.col("limited"), 429).otherwise(200))
         .drop("_last")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from opsloom.functions.faults import RUNBOOKS, UNKNOWN, by_fault, fault_name, fault_rank
 from opsloom.functions.hashing import short_id
+from opsloom.plans.sizing import small_side
 
 # Lines shown, levels counted as errors, limits of a P1.
 SHOWN_LOGS = 5
@@ -89,8 +90,8 @@ def reports(requests: DataFrame, logs: DataFrame, commits: DataFrame, impacted:
     by_commit = correlate_commits(commits).groupBy("service_name").agg(ordered.alias("correlated_commits"))
     radius = impacted.groupBy("service").agg(F.array_sort(F.collect_list("impacted")).alias("_hit"))
     joined = (
-        requests.join(by_log, "service_name", "left")
-        .join(by_commit, "service_name", "left")
+        requests.join(small_side(by_log), "service_name", "left")
+        .join(small_side(by_commit), "service_name", "left")
         .join(radius.withColumnRenamed("service", "service_name"), "service_name", "left")
     )
     culprit = F.col("correlated_commits")[0]

@@ -16,7 +16,7 @@ from opsloom.functions.barrier import evaluated_once
 from opsloom.functions.text import tokens
 from opsloom.plans.durable import durable
 from opsloom.plans.ranking import SLICE_ROWS, ordered_rank
-from opsloom.plans.sizing import fits_one_task
+from opsloom.plans.sizing import fits_one_task, small_side
 
 # BM25+ constants, the rank constant of the fusion and the answer texts.
 K1 = 1.5
@@ -124,13 +124,14 @@ def match_scores(queries: DataFrame, index: CorpusIndex) -> DataFrame:
     words = query_terms(queries)
     # Only postings of words somebody asks for are aggregated and shuffled: the semi-join
     # moves below the aggregations of an index that is built on the fly.
-    vocabulary = words.select("term").distinct()
+    vocabulary = small_side(words.select("term").distinct())
     postings = index.postings.join(vocabulary, "term", "left_semi")
     terms = index.terms.join(vocabulary, "term", "left_semi")
     asked = (
         words.join(terms.select("term", "doc_freq"), "term")
         .withColumn("weight", F.col("qtf") * F.log((n_docs + 1) / F.col("doc_freq")))
     )
+    asked = small_side(asked)
     floor = asked.groupBy("query_id").agg((F.sum("weight") * DELTA).alias("floor"))
     length_norm = K1 * (1 - B + B * F.col("doc_len") / F.col("mean_len"))
     part = F.col("weight") * F.col("tf") * (K1 + 1) / (length_norm + F.col("tf"))
@@ -145,7 +146,7 @@ def match_scores(queries: DataFrame, index: CorpusIndex) -> DataFrame:
             F.first("doc_terms").alias("doc_terms"),
         )
     )
-    return pairs.join(floor, "query_id").select(
+    return pairs.join(small_side(floor), "query_id").select(
         "query_id",
         "doc_id",
         F.round(F.col("matched") + F.col("floor"), SCORE_DIGITS).alias("bm25"),

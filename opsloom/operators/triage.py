@@ -9,6 +9,7 @@ from opsloom.functions.barrier import evaluated_once
 from opsloom.functions.faults import DIAGNOSIS, SEVERITY, by_fault, classify_fault
 from opsloom.functions.text import injection_reason, redaction
 from opsloom.operators.textsafety import authorized
+from opsloom.plans.sizing import small_side
 
 ROLLBACK = "execute_deployment_rollback"
 PLANNER_ROLE = "action_agent"
@@ -59,8 +60,8 @@ def diagnose(triaged: DataFrame, answers: DataFrame, topology: DataFrame) -> Dat
     passed = ~F.col("security_flagged")
     research = F.concat("answer", F.lit("\nTopology: "), "topology")
     return (
-        triaged.join(answers, "description", "left")
-        .join(topology.withColumnRenamed("service", "service_name"), "service_name", "left")
+        triaged.join(small_side(answers), "description", "left")
+        .join(small_side(topology.withColumnRenamed("service", "service_name")), "service_name", "left")
         .withColumn("kb_research", F.when(passed, research))
         .withColumn("rca_diagnosis", by_fault(F.col("fault_type"), DIAGNOSIS))
         .drop("answer", "topology")

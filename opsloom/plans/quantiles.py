@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from opsloom.plans.durable import durable
-from opsloom.plans.sizing import fits_one_task
+from opsloom.plans.sizing import fits_one_task, small_side
 
 SKETCH_ACCURACY = 10_000
 
@@ -58,7 +58,7 @@ def exact_quantiles(
     region = reduce(
         lambda a, b: a + b, [(F.col("_v") > F.col(f"_c{i}")).cast("int") for i in range(len(cuts))]
     )
-    placed = source.join(flat, keys).select(*keys, "_v", region.alias("_region"))
+    placed = source.join(small_side(flat), keys).select(*keys, "_v", region.alias("_region"))
 
     upto = W.partitionBy(*keys).orderBy("_region").rowsBetween(W.unboundedPreceding, 0)
     regions = (
@@ -85,7 +85,7 @@ def exact_quantiles(
         .where("_rank >= _start and _rank < _end")
         .select(*keys, "_slot", "_region", (F.col("_rank") - F.col("_start")).alias("_at"))
     )
-    needed = targets.select(*keys, "_region").distinct()
+    needed = small_side(targets.select(*keys, "_region").distinct())
     within = W.partitionBy(*keys, "_region").orderBy("_v")
     tallied = (
         placed.join(needed, [*keys, "_region"], "left_semi")

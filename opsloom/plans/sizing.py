@@ -8,7 +8,12 @@ answer is "large", so the distributed form is the default.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from opsloom.plans.durable import durable
+
+# Rows of narrow dimension-like tables up to which every executor gets a copy.
+BROADCAST_ROWS = 200_000
 # Scanned bytes up to which one task can hold any single group of the input.
 ONE_TASK_BYTES = 128 * 1024 * 1024
 
@@ -24,3 +29,19 @@ def planned_bytes(df: DataFrame) -> int | None:
 def fits_one_task(df: DataFrame, limit: int = ONE_TASK_BYTES) -> bool:
     size = planned_bytes(df)
     return size is not None and size <= limit
+
+
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A join side that is expected, not known, to be small.
+
+    Spark estimates an aggregate to be as large as its input, so a few rows per service,
+    derived from a huge table, would make it shuffle the huge table for the join. Where the
+    estimate exceeds Spark's own broadcast limit the side is written down and its rows
+    are counted: up to ``rows`` it is broadcast, otherwise the join shuffles as usual.
+    """
+    size = planned_bytes(df)
+    limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    if size is not None and size <= int(limit.removesuffix("b")):
+        return df
+    frozen = durable(df)
+    return F.broadcast(frozen) if frozen.count() <= rows else frozen

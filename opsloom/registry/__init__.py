@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from opsloom.session import ship_package
 from opsloom.sources.tables import check_sql, domain_view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +32,7 @@ class Views:
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        ship_package(spark)
         self.spark = spark
         self.sf_dir = sf_dir
         self._plans: dict[str, DataFrame] = {}

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from opsloom.functions.faults import DIAGNOSIS, FAULT_RULES, RUNBOOKS, SEVERITY, classify_fault
 from opsloom.operators import rca, remediation, retrieval, topology, triage
+from opsloom.plans.sizing import small_side
 from opsloom.registry import Views, query
 from opsloom.registry.retrieval import RRF_SQL, index_sql
 from opsloom.registry.safety import redact_sql, scan_sql
@@ -242,7 +243,7 @@ def correlate_commits(v: Views):
     from {{telemetry}} left join by_log using (service_name)""",
 )
 def incident_severity(v: Views):
-    counts = rca.correlate_logs(v.service_logs).select("service_name", "error_log_count")
+    counts = small_side(rca.correlate_logs(v.service_logs).select("service_name", "error_log_count"))
     rows = v.telemetry.select("seq", "service_name", "latency_ms").join(counts, "service_name", "left")
     anomaly = rca.anomaly_severity(F.col("latency_ms"))
     return rows.select(

@@ -255,3 +255,36 @@ def test_runs(spark):
     assert runs.get_run(latest, "r").first()["metrics"] == {"m": 2.0}
     assert runs.get_run(latest, "r").first()["tags"] == {}
     assert runs.get_run(latest, "x").count() == 0
+
+
+def test_expected_small_sides_are_counted(spark, views, monkeypatch):
+    from opsloom.operators import anomaly, httpmetrics
+    from opsloom.plans import sizing
+
+    def results():
+        scored = anomaly.zscore_score(views.telemetry, anomaly.baseline_stats(views.telemetry))
+        limited = httpmetrics.fixed_window_limit(views.access_log, limit=2, period="day")
+        return rows(scored.select("seq", "scores"), "seq"), rows(limited.select("event_id", "answer"), "event_id")
+
+    small = results()
+    monkeypatch.setattr(sizing, "planned_bytes", lambda df: None)
+    side = sizing.small_side(spark.range(10))
+    assert "ResolvedHint" in side._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint" not in sizing.small_side(spark.range(10), rows=9)._jdf.queryExecution().analyzed().toString()
+    assert results() == small
+
+
+def test_runs_from_any_folder(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        f"import sys; sys.path.insert(0, {repo!r}); import __spark_entry__ as e\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "print(e.queries()['rolling_baseline_ingest'](s, '/root/testdata/sf0.001').count())"
+    )
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0 and int(done.stdout.split()[-1]) > 0, done.stderr[-2000:]
