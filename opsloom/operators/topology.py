@@ -6,11 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsloom.plans.durable import durable
+from opsloom.plans.sizing import small_side
 
 # Rounds after which the pairs found so far are written as one table again.
 COMPACT_ROUNDS = 8
-# Distinct edges up to which every task gets a copy of them; counted before it is decided.
-BROADCAST_EDGES = 200_000
 
 
 def closure(edges: DataFrame, roots: DataFrame | None = None, reverse: bool = False) -> DataFrame:
@@ -29,7 +28,7 @@ def closure(edges: DataFrame, roots: DataFrame | None = None, reverse: bool = Fa
     if roots is not None:
         wanted = roots.select(F.col(roots.columns[0]).alias("from")).distinct()
         start = durable(step.join(wanted, "from", "left_semi"))
-    hop = F.broadcast(step) if step.count() <= BROADCAST_EDGES else step
+    hop = small_side(step)
     frontier = start.select(F.col("from").alias("root"), F.col("to").alias("node"))
     reached = frontier
     rounds = 0

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from opsloom.plans.durable import durable
 
-# Rows of narrow dimension-like tables up to which every executor gets a copy.
+# Rows and bytes (as JSON text) up to which every executor gets a copy of a join side.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 # Scanned bytes up to which one task can hold any single group of the input.
 ONE_TASK_BYTES = 128 * 1024 * 1024
 
@@ -36,12 +37,16 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
     Spark estimates an aggregate to be as large as its input, so a few rows per service,
     derived from a huge table, would make it shuffle the huge table for the join. Where the
-    estimate exceeds Spark's own broadcast limit the side is written down and its rows
-    are counted: up to ``rows`` it is broadcast, otherwise the join shuffles as usual.
+    estimate exceeds Spark's own broadcast limit the side is written down and measured:
+    within ``rows`` and ``BROADCAST_BYTES`` it is broadcast, otherwise the join shuffles.
     """
     size = planned_bytes(df)
     limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
     if size is not None and size <= int(limit.removesuffix("b")):
         return df
     frozen = durable(df)
-    return F.broadcast(frozen) if frozen.count() <= rows else frozen
+    if frozen.count() > rows:
+        return frozen
+    width = F.octet_length(F.to_json(F.struct("*")))
+    total = frozen.agg(F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()["bytes"]
+    return F.broadcast(frozen) if total <= BROADCAST_BYTES else frozen
