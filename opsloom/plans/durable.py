@@ -6,6 +6,7 @@ Everything goes through ``checkpoint()`` or a written table below the folder nam
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,14 +14,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared checkpoint folder; a temporary one only where the session names none."""
+    """The shared checkpoint folder; a temporary one only in local mode, where one machine runs all."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="opsloom-checkpoint-"))
+        context.setCheckpointDir(named or local_folder(context.master))
     return named or context._jsc.sc().getCheckpointDir().get()
 
 
+def local_folder(master: str) -> str:
+    """A fresh temporary folder for local mode; elsewhere executors could not read it."""
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError(
+            f"master is {master}: set spark.checkpoint.dir to a folder that all executors share"
+        )
+    return tempfile.mkdtemp(prefix="opsloom-checkpoint-")
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once, reliably, and continue from the written copy."""
     checkpoint_root(df.sparkSession)

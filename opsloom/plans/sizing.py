@@ -7,7 +7,7 @@ answer is "large", so the distributed form is the default.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsloom.plans.durable import durable
@@ -32,6 +32,11 @@ def fits_one_task(df: DataFrame, limit: int = ONE_TASK_BYTES) -> bool:
     return size is not None and size <= limit
 
 
+def broadcast_limit(spark: SparkSession) -> int:
+    """Spark's own broadcast threshold in bytes, whatever unit it was set in; below 0: never."""
+    return int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A join side that is expected, not known, to be small.
 
@@ -39,10 +44,11 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     derived from a huge table, would make it shuffle the huge table for the join. Where the
     estimate exceeds Spark's own broadcast limit the side is written down and measured:
     within ``rows`` and ``BROADCAST_BYTES`` it is broadcast, otherwise the join shuffles.
+    A session that switches broadcasts off (threshold -1) never gets one.
     """
+    limit = broadcast_limit(df.sparkSession)
     size = planned_bytes(df)
-    limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-    if size is not None and size <= int(limit.removesuffix("b")):
+    if limit < 0 or (size is not None and size <= limit):
         return df
     frozen = durable(df)
     if frozen.count() > rows:
