@@ -148,8 +148,11 @@ def different(docs: DataFrame, slim: DataFrame) -> DataFrame:
         "dedup-members",
     )
     texts = docs.select(row_key().alias("key"), stripped().alias("body"))
-    # Rows with one key have one text, so a single row stands for them.
-    bodies = written(members.join(texts, "key").dropDuplicates(["key"]), "dedup-bodies")
+    # Rows with one key have one text, so a single row stands for them. The merge join is asked
+    # for so that the plan is the same at every size.
+    bodies = written(
+        texts.join(members.hint("merge"), "key").dropDuplicates(["key"]), "dedup-bodies"
+    )
     first = bodies.where("key = first").select("print", F.col("body").alias("first_body"))
     return (
         bodies.join(first, "print")
