@@ -77,7 +77,8 @@ def close_pairs(prints: DataFrame) -> DataFrame:
     shared = written(
         index.groupBy("bit", "rest").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "variants"
     )
-    met = written(index.join(shared, ["bit", "rest"]), "met")
+    # A merge join at every size: the plan, and so the growth, does not change with the input.
+    met = written(index.join(shared.hint("merge"), ["bit", "rest"]), "met")
     few = met.where(F.col("n") <= PAIRED)
     other = few.select("bit", "rest", F.col("print").alias("b"))
     paired = (
