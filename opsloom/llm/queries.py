@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opsloom.llm import checks, exact_dedup, mixing, pieces, quality, simhash, toxicity
+from opsloom.llm import checks, exact_dedup, mixing, pieces, prefix_prints, quality, secret_scan, simhash, toxicity
 from opsloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,16 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(read(spark, sf_dir, "documents")).drop("key")
 
 
+@query("op5_fingerprints")
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_prints.fingerprinted(read(spark, sf_dir, "documents"))
+
+
+@query("op6_secrets")
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scanned(read(spark, sf_dir, "documents"))
+
+
 @query("op7_mixing", checks.MIXING)
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(read(spark, sf_dir, "documents"))
