@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from opsloom.llm import checks, exact_dedup, mixing, pieces, prefix_prints, quality, secret_scan, simhash, toxicity
+from opsloom.llm import checks, exact_dedup, mixing, pieces, prefix_prints, quality, resharding, secret_scan, simhash, toxicity
 from opsloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +29,23 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(read(spark, sf_dir, "documents"))
 
 
+@query("op3_resharding")
+def op3_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From shards by source, which are very unequal, to 24 of equal bytes."""
+    old = F.pmod(F.xxhash64("source"), F.lit(resharding.SHARDS))
+    rows = resharding.resharded(read(spark, sf_dir, "documents"), old)
+    return rows.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+        "old_shard",
+    )
+
+
 @query("op4_simhash")
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(read(spark, sf_dir, "documents")).drop("key")
