@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsloom.llm import checks, exact_dedup, mixing, pieces, prefix_prints, quality, resharding, secret_scan, simhash, toxicity
+from opsloom.llm import checks, exact_dedup, mixing, pieces, prefix_prints, quality, resharding, secret_scan, simhash, suffix_dedup, toxicity
 from opsloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_suffix_dedup")
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(read(spark, sf_dir, "documents")).drop("kept")
+
+
 @query("op2_sentencepiece")
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(read(spark, sf_dir, "documents"))
