@@ -30,7 +30,7 @@ def fault_rank(text: Column) -> Column:
     """Position of the first rule that matches; one past the last when none does."""
     rank = None
     for i, pattern in enumerate(FAULT_RULES.values()):
-        hit = text.rlike(f"(?i){pattern}")
+        hit = text.rlike(f"(?iU){pattern}")
         rank = F.when(hit, i) if rank is None else rank.when(hit, i)
     return rank.otherwise(len(FAULT_RULES))
 

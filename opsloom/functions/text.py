@@ -82,9 +82,12 @@ def _replaced(kind: str):
 
 
 def injection_reason(text: Column) -> Column:
-    """Reason of the first matching signature; null for clean text."""
+    """Reason of the first matching signature; null for clean text.
+
+    White space and word borders are Unicode ones: a no-break space does not hide a signature.
+    """
     hits = [
-        F.when(text.rlike(f"(?i){sig}"), F.lit(f"Adversarial signature detected: '{sig}'"))
+        F.when(text.rlike(f"(?iU){sig}"), F.lit(f"Adversarial signature detected: '{sig}'"))
         for sig in INJECTION_SIGNATURES
     ]
     return F.coalesce(*hits)

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from opsloom.functions.numeric import tidy
 from opsloom.plans.durable import durable
+from opsloom.plans.joins import match
 from opsloom.plans.ranking import arrival_rank
 from opsloom.plans.sizing import fits_one_task, small_side
+from opsloom.session import ship_package
 
 # Metrics in scoring order, thresholds, window and warm-up.
 METRICS = ("cpu_percent", "memory_percent", "latency_ms")
@@ -261,6 +263,7 @@ def rolling_ingest(
     rounds are the rule; agreement of every start with its predecessor's end is what makes
     the result exact.
     """
+    ship_package(events.sparkSession)
     base = events.select(
         "service_name", F.col(seq).cast("bigint").alias("seq"), *[F.col(m).cast("double").alias(m) for m in METRICS]
     )
@@ -302,15 +305,14 @@ def rolling_ingest(
         starts = following(ends)
         before = used.withColumnRenamed("state", "_used")
         changed = durable(
-            starts.join(before, keys, "left")
-            .join(folds.select(*keys).distinct(), keys, "left_semi")
+            match(match(starts, before, keys, "left"), folds.select(*keys).distinct(), keys, "left_semi")
             .where(~F.col("state").eqNullSafe(F.col("_used")))
             .select(*keys, "state")
         )
         if changed.isEmpty():
             break
-        again = run(folds.join(changed.select(*keys), keys, "left_semi"), changed)
-        kept = ends.join(changed.select(*keys), keys, "left_anti")
+        again = run(match(folds, changed.select(*keys), keys, "left_semi"), changed)
+        kept = match(ends, changed.select(*keys), keys, "left_anti")
         used = starts
         ends = durable(kept.unionByName(again))
     result = folds.groupBy(*keys).cogroup(starts.groupBy(*keys)).applyInPandas(scored, SCORED_SCHEMA)

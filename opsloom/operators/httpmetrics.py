@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from opsloom.plans.joins import match
 from opsloom.plans.ranking import arrival_rank
 from opsloom.plans.sizing import small_side
 
@@ -208,7 +209,8 @@ def fixed_window_limit(
 
     The cut-off request per client and period is found with a limited rank, which keeps at
     most ``limit`` rows per task before the shuffle; all rows are then compared with it. A
-    client that sends a third of all requests is never sorted in one task.
+    client that sends a third of all requests is never sorted in one task. A null client or
+    time is a client or period of its own, so every request gets an answer.
     """
     windowed = log.withColumn("window_start", F.date_trunc(period, "ts"))
     w = W.partitionBy("client", "window_start").orderBy(*order)
@@ -220,7 +222,7 @@ def fixed_window_limit(
         .agg(F.max(F.struct(*order)).alias("_last"))
     )
     return (
-        windowed.join(small_side(cut), ["client", "window_start"])
+        match(windowed, small_side(cut), ["client", "window_start"])
         .withColumn("limited", F.struct(*order) > F.col("_last"))
         .withColumn("answer", F.when(F.col("limited"), 429).otherwise(200))
         .drop("_last")

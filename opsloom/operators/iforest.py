@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from opsloom.operators.anomaly import METRICS, baseline_stats, zscore
 from opsloom.plans.durable import durable
 from opsloom.plans.quantiles import exact_quantiles
+from opsloom.session import ship_package
 
 # Forest size, sample per tree, share of outliers, seed and severity limit.
 TREES = 100
@@ -92,6 +93,7 @@ def fit_nodes(
     events: DataFrame, row_id: str = "seq", trees: int = TREES, psi: int = SAMPLE_ROWS, seed: int = SEED
 ) -> DataFrame:
     """The forest as a node table, at most trees x (2 psi - 1) rows; trees grow in parallel."""
+    ship_package(events.sparkSession)
     sample = training_sample(events, row_id, trees, psi, seed)
     return sample.groupBy("tree").applyInPandas(lambda pdf: grow_tree(pdf, seed, psi), NODE_SCHEMA)
 
@@ -129,6 +131,7 @@ def score_samples(
     events: DataFrame, nodes: DataFrame, trees: int = TREES, psi: int = SAMPLE_ROWS, rows_fitted: int | None = None
 ) -> DataFrame:
     """Adds ``score`` in (-1, 0); the lower, the more isolated."""
+    ship_package(events.sparkSession)
     forest = events.sparkSession.sparkContext.broadcast(_forest_arrays(nodes, trees, psi))
     scale = float(average_path(min(psi, rows_fitted or psi)))
 

@@ -14,10 +14,10 @@ EXCELLENT_MTTR = 15.0
 ACCEPTABLE_MTTR = 60.0
 
 INCIDENT_COLUMNS = ("service_name", "severity", "started_at", "resolved_at")
+# Seconds, their fraction and the zone (Z or an offset) may be missing; no zone means UTC.
 TIME_FORMATS = (
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd HH:mm",
+    "yyyy-MM-dd HH:mm[:ss][.SSSSSSSSS][XXX]",
+    "yyyy-MM-dd'T'HH:mm[:ss][.SSSSSSSSS][XXX]",
     "yyyy-MM-dd",
 )
 

@@ -77,11 +77,19 @@ def anomaly_severity(observed: Column) -> Column:
     return F.when(observed > P1_LATENCY_MS, "CRITICAL").otherwise("WARNING")
 
 
-def reports(requests: DataFrame, logs: DataFrame, commits: DataFrame, impacted: DataFrame) -> DataFrame:
-    """One report per request (service_name, observed_value).
+def reports(
+    requests: DataFrame,
+    logs: DataFrame,
+    commits: DataFrame,
+    impacted: DataFrame,
+    request_key: str | None = None,
+) -> DataFrame:
+    """One report per request (service_name, observed_value and, if named, a ``request_key``).
 
     Logs, commits and blast radius shrink to one row per service before they meet the
-    requests. The id is a hash, so a re-run yields the same report.
+    requests. The id is a hash, so a re-run yields the same report; with a request key it is
+    unique per request, also among equal readings of one service. Its visible part is short,
+    ``report_key`` holds the whole hash.
     """
     by_log = correlate_logs(logs)
     ordered = F.array_sort(
@@ -119,8 +127,14 @@ def reports(requests: DataFrame, logs: DataFrame, commits: DataFrame, impacted:
     fallback = F.when(has_commit, RUNBOOKS["ERROR_BURST"]).otherwise(RUNBOOKS["LATENCY_SPIKE"])
     observed = F.col("observed_value")
     no_text = F.array().cast("array<string>")
+    parts = [service, observed.cast("string")]
+    whole_key = []
+    if request_key is not None:
+        parts.append(F.col(request_key).cast("string"))
+        whole_key = [F.col(request_key), F.sha2(F.concat_ws("|", *parts), 256).alias("report_key")]
     return joined.select(
-        short_id("INC-", service, observed.cast("string")).alias("incident_id"),
+        *whole_key,
+        short_id("INC-", *parts).alias("incident_id"),
         "service_name",
         incident_severity(observed, anomaly_severity(observed), F.col("error_log_count")).alias("severity"),
         fault.alias("fault_type"),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsloom.functions.numeric import tidy
+from opsloom.plans.joins import match
 from opsloom.plans.quantiles import exact_quantiles
 from opsloom.plans.sizing import fits_one_task
 
@@ -54,7 +55,8 @@ def service_sla(
     volume = rows.groupBy(*keys).agg(*_volume())
     latency = exact_quantiles(rows, keys, "latency_ms", PROBS, LATENCY_COLUMNS, split=True)
     rounded = latency.select(*keys, *[tidy(F.col(c), 2).alias(c) for c in LATENCY_COLUMNS])
-    return _ordered(volume.join(rounded, keys), keys)
+    # A service without any latency has no quantiles and stays.
+    return _ordered(match(volume, rounded, keys, "left"), keys)
 
 
 def service_sla_approx(

@@ -22,6 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from opsloom.plans.durable import durable
+from opsloom.plans.joins import match
 from opsloom.plans.sizing import fits_one_task, small_side
 
 SKETCH_ACCURACY = 10_000
@@ -58,7 +59,7 @@ def exact_quantiles(
     region = reduce(
         lambda a, b: a + b, [(F.col("_v") > F.col(f"_c{i}")).cast("int") for i in range(len(cuts))]
     )
-    placed = source.join(small_side(flat), keys).select(*keys, "_v", region.alias("_region"))
+    placed = match(source, small_side(flat), keys).select(*keys, "_v", region.alias("_region"))
 
     upto = W.partitionBy(*keys).orderBy("_region").rowsBetween(W.unboundedPreceding, 0)
     regions = (
@@ -81,24 +82,24 @@ def exact_quantiles(
         *keys, F.col("_w.slot").alias("_slot"), F.col("_w.rank").alias("_rank")
     )
     targets = (
-        ranks.join(regions, keys)
+        match(ranks, regions, keys)
         .where("_rank >= _start and _rank < _end")
         .select(*keys, "_slot", "_region", (F.col("_rank") - F.col("_start")).alias("_at"))
     )
     needed = small_side(targets.select(*keys, "_region").distinct())
     within = W.partitionBy(*keys, "_region").orderBy("_v")
     tallied = (
-        placed.join(needed, [*keys, "_region"], "left_semi")
+        match(placed, needed, [*keys, "_region"], "left_semi")
         .groupBy(*keys, "_region", "_v")
         .agg(F.count(F.lit(1)).alias("_rows"))
         .withColumn("_to", F.sum("_rows").over(within.rowsBetween(W.unboundedPreceding, 0)))
         .withColumn("_from", F.col("_to") - F.col("_rows"))
     )
-    found = targets.join(tallied, [*keys, "_region"]).where("_at >= _from and _at < _to")
+    found = match(targets, tallied, [*keys, "_region"]).where("_at >= _from and _at < _to")
     picked = found.groupBy(*keys).agg(
         *[F.max(F.when(F.col("_slot") == s, F.col("_v"))).alias(f"_s{s}") for s in range(2 * len(probs))]
     )
-    out = picked.join(sketch.select(*keys, "_n"), keys)
+    out = match(picked, sketch.select(*keys, "_n"), keys)
     for i, (p, n) in enumerate(zip(probs, names)):
         pos = F.lit(float(p)) * (F.col("_n") - 1)
         low, high = F.col(f"_s{2 * i}"), F.col(f"_s{2 * i + 1}")

@@ -15,12 +15,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from opsloom.plans.durable import durable
-from opsloom.plans.sizing import fits_one_task, planned_bytes
+from opsloom.plans.sizing import fits_one_task
 
 # Rows of one key that a single task sorts.
 SLICE_ROWS = 1_000_000
-# Bytes per range slice when rows are ordered by arbitrary columns.
-SLICE_BYTES = 256 * 1024 * 1024
 
 
 def _joined_rank(df: DataFrame, keys: Sequence[str], order: list[Column], out: str) -> DataFrame:
@@ -54,16 +52,16 @@ def arrival_rank(
 ) -> DataFrame:
     """1-based position per key in arrival order, for a unique integer ``seq``.
 
-    The slice ``seq div slice_rows`` holds at most ``slice_rows`` rows of a key because
-    ``seq`` is unique, so the plan stays lazy and deterministic at any skew.
+    Ids may be dense, sparse or clustered: beyond a size check rows are cut at sampled ranges
+    of (key, seq), about ``slice_rows`` to a slice.
     """
     if split is None:
         split = not fits_one_task(df)
     if not split:
         rank = F.row_number().over(W.partitionBy(*keys).orderBy(seq))
         return df.withColumn(out, rank.cast("bigint"))
-    sliced = df.withColumn("_slice", F.floor(F.col(seq) / F.lit(slice_rows)))
-    return _joined_rank(sliced, keys, [F.col(seq)], out)
+    slices = max(2, -(-df.count() // slice_rows))
+    return ordered_rank(df, keys, [F.col(seq)], out, split=True, slices=slices)
 
 
 def ordered_rank(
@@ -87,7 +85,7 @@ def ordered_rank(
         rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
         return df.withColumn(out, rank.cast("bigint"))
     if slices is None:
-        slices = max(200, min(100_000, (planned_bytes(df) or 0) // SLICE_BYTES))
+        slices = max(2, -(-df.count() // SLICE_ROWS))
     ranged = df.repartitionByRange(slices, *[F.col(k) for k in keys], *order)
     frozen = durable(ranged.withColumn("_slice", F.spark_partition_id()))
     return _joined_rank(frozen, keys, order, out)

@@ -147,7 +147,7 @@ VIEWS = {
     "entity_edges": """
         select c_custkey as src, cast(floor(c_custkey / 2E0) as bigint) as dst,
           'reports_to' as relation
-        from {customer} where c_custkey > 1""",
+        from {customer} where c_custkey > 0""",
     "tickets": f"""
         select event_id as ticket_id, concat('svc-', cast(user_id % 12 as string)) as service_name,
           {_case("event_id % 10", [t for t, _ in TICKET_TEMPLATES])} as description,
@@ -242,13 +242,10 @@ ROW_IDS = {"events": "event_id", "documents": "doc_id", "conversations": "conv_i
 
 
 def base_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A base table; one that arrives in fewer splits than there are cores is spread out.
-
-    A table of many files has its splits already and is left as it is.
-    """
+    """A base table; in local mode one that is small for the cores is spread over them."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if name in ROW_IDS and len(df.inputFiles()) < cores:
+    if name in ROW_IDS and spark.sparkContext.master.startswith("local["):
         size = planned_bytes(df)
         if size is not None and size < cores * SPLIT_BYTES:
             return df.repartition(cores, ROW_IDS[name])
