@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from opsloom.functions.barrier import evaluated_once
 from opsloom.functions.hashing import md5_modulo
-from opsloom.functions.rules import FieldRule, reason_text, typed, violations
+from opsloom.functions.rules import FieldRule, event_time, reason_text, typed, violations
 
 # Bounds of the request and event schemas.
 TOPIC_PROFILE = (
@@ -17,6 +17,8 @@ TOPIC_PROFILE = (
     FieldRule("memory_percent", "float", 0, 100),
     FieldRule("latency_ms", "float", 0),
     FieldRule("status_code", "int", 100, 599),
+    FieldRule("timestamp", "time", required=False),
+    FieldRule("metadata", "map", required=False),
 )
 API_PROFILE = (
     FieldRule("service_name", "text", 1, 100),
@@ -28,6 +30,8 @@ API_PROFILE = (
 DIAGNOSE_PROFILE = (
     FieldRule("service_name", "text", 1, 100),
     FieldRule("observed_latency_ms", "float", 0, 600_000, finite=True),
+    FieldRule("error_logs", "list", high=100, required=False),
+    FieldRule("recent_commits", "list", high=100, required=False),
 )
 INCIDENT_PROFILE = (
     FieldRule("service_name", "text", 1, 100),
@@ -61,7 +65,9 @@ def checked(df: DataFrame, profile: tuple[FieldRule, ...], payload: str = "paylo
     """Adds ``fields`` (the parsed object), ``is_object`` and ``errors``."""
     parsed = evaluated_once(df, "fields", F.from_json(payload, "map<string,string>"))
     looks_like_object = F.col("fields").isNotNull() & F.ltrim(F.col(payload)).startswith("{")
-    errors = violations(profile, lambda name: F.col("fields")[name])
+    # A map of texts cannot tell a number from a quoted one; the variant keeps the types.
+    parsed = evaluated_once(parsed, "_json", F.try_parse_json(payload))
+    errors = violations(profile, lambda name: F.col("fields")[name], json_type)
     judged = F.struct(
         looks_like_object.alias("is_object"), F.when(looks_like_object, errors).alias("errors")
     )
@@ -73,6 +79,10 @@ def checked(df: DataFrame, profile: tuple[FieldRule, ...], payload: str = "paylo
     )
 
 
+def json_type(name: str) -> Column:
+    return F.schema_of_variant(F.try_variant_get("_json", f"$.{name}", "variant"))
+
+
 def is_valid() -> Column:
     return F.col("is_object") & (F.size("errors") == 0)
 
@@ -80,9 +90,11 @@ def is_valid() -> Column:
 def valid_rows(df: DataFrame, profile=TOPIC_PROFILE, as_of: Column | None = None) -> DataFrame:
     """Typed rows that break no rule. A missing timestamp becomes ``as_of``."""
     keep = [c for c in df.columns if c not in ("payload", "fields", "is_object", "errors")]
-    typed_fields = [typed(r, F.col("fields")[r.name]).alias(r.name) for r in profile]
-    given = F.try_to_timestamp(F.col("fields")["timestamp"])
-    event_time = F.coalesce(given, as_of) if as_of is not None else given
+    typed_fields = [
+        typed(r, F.col("fields")[r.name]).alias(r.name) for r in profile if r.kind not in ("time", "map")
+    ]
+    given = event_time(F.col("fields")["timestamp"])
+    arrived = F.coalesce(given, as_of) if as_of is not None else given
     metadata = F.coalesce(
         F.from_json(F.col("fields")["metadata"], "map<string,string>"),
         F.create_map().cast("map<string,string>"),
@@ -90,7 +102,7 @@ def valid_rows(df: DataFrame, profile=TOPIC_PROFILE, as_of: Column | None = None
     return (
         checked(df, profile)
         .where(is_valid())
-        .select(*keep, *typed_fields, event_time.alias("event_time"), metadata.alias("metadata"))
+        .select(*keep, *typed_fields, arrived.alias("event_time"), metadata.alias("metadata"))
     )
 
 

@@ -43,13 +43,22 @@ parsed as (
     case when payload like '{{%' then json_extract_string(payload, '$.cpu_percent') end as cpu_text,
     case when payload like '{{%' then json_extract_string(payload, '$.memory_percent') end as mem_text,
     case when payload like '{{%' then json_extract_string(payload, '$.latency_ms') end as lat_text,
-    case when payload like '{{%' then json_extract_string(payload, '$.status_code') end as st_text
+    case when payload like '{{%' then json_extract_string(payload, '$.status_code') end as st_text,
+    case when payload like '{{%' then json_type(payload, '$.event_id') end as id_type,
+    case when payload like '{{%' then json_extract_string(payload, '$.timestamp') end as time_text,
+    case when payload like '{{%' then json_type(payload, '$.metadata') end as meta_type,
+    case when payload like '{{%' then cast(json_extract(payload, '$.metadata') as varchar) end as meta
   from raw_payloads),
 numbers as (
   select *, try_cast(cpu_text as double) as cpu, try_cast(mem_text as double) as mem,
-    try_cast(lat_text as double) as lat, try_cast(st_text as double) as st from parsed),
+    try_cast(lat_text as double) as lat, try_cast(st_text as double) as st,
+    case when try_cast(time_text as bigint) is not null then make_timestamp(time_text::bigint * 1000000)
+      else try_cast(time_text as timestamptz) at time zone 'UTC' end as given from parsed),
 judged as (
   select *,
+    case when ANY and id_text is null then 'missing' when ANY and id_type <> 'VARCHAR' then 'string_type' end as id_rule,
+    case when ANY and time_text is not null and given is null then 'datetime_parsing' end as time_rule,
+    case when ANY and meta_type <> 'OBJECT' then 'dict_type' end as meta_rule,
     case when cpu_text is null then 'missing' when cpu is null then 'float_parsing'
       when cpu < 0 then 'greater_than_equal' when cpu > 100 then 'less_than_equal' end as cpu_rule,
     case when mem_text is null then 'missing' when mem is null then 'float_parsing'
@@ -60,13 +69,14 @@ judged as (
       when st < 100 then 'greater_than_equal' when st > 599 then 'less_than_equal' end as st_rule
   from numbers),
 reasons as (
-  select *, (cpu_rule is not null)::int + (mem_rule is not null)::int
-      + (lat_rule is not null)::int + (st_rule is not null)::int as n_errors,
-    concat_ws('; ', 'cpu_percent ' || cpu_rule, 'memory_percent ' || mem_rule,
-      'latency_ms ' || lat_rule, 'status_code ' || st_rule) as listed
+  select *, (id_rule is not null)::int + (time_rule is not null)::int + (meta_rule is not null)::int
+      + (cpu_rule is not null)::int + (mem_rule is not null)::int + (lat_rule is not null)::int + (st_rule is not null)::int as n_errors,
+    concat_ws('; ', 'event_id ' || id_rule, 'cpu_percent ' || cpu_rule, 'memory_percent ' || mem_rule,
+      'latency_ms ' || lat_rule, 'status_code ' || st_rule,
+        'timestamp ' || time_rule, 'metadata ' || meta_rule) as listed
   from judged)""".replace("{{", "{")
-TOPIC_PARSED = PARSED.replace("LATMAX", "'infinity'::double")
-API_PARSED = PARSED.replace("LATMAX", "600000")
+TOPIC_PARSED = PARSED.replace("LATMAX", "'infinity'::double").replace("ANY", "true")
+API_PARSED = PARSED.replace("LATMAX", "600000").replace("ANY", "false")
 USE_PAYLOADS = "-- from {raw_payloads}\n"
 MD5_PART = """cast(list_reduce(list_transform(range(0, 8),
   lambda i: ('0x' || substr(md5(service_name), i * 4 + 1, 4))::bigint),
@@ -89,7 +99,8 @@ commits as (
     "with " + TOPIC_PARSED + """
     select seq, id_text as event_id, service_name, cpu as cpu_percent, mem as memory_percent,
       lat as latency_ms, cast(st as int) as status_code,
-      strftime(ts, '%Y-%m-%d %H:%M:%S') as event_time, 0 as metadata_size
+      strftime(coalesce(given, ts), '%Y-%m-%d %H:%M:%S') as event_time,
+      case when meta is null then 0 else 2 end as metadata_size
     from reasons where not garbled and n_errors = 0 """ + USE_PAYLOADS,
 )
 def telemetry_validate(v: Views):
@@ -142,14 +153,15 @@ REPAIRED = """regexp_replace(payload, '"status_code":700', '"status_code":503')"
     "dlq_replay",
     "with " + TOPIC_PARSED + f""",
     again as (
-      select seq, garbled, service_name, cpu_rule, mem_rule, lat_rule,
+      select seq, garbled, service_name, id_rule, cpu_rule, mem_rule, lat_rule, time_rule, meta_rule,
         case when st_text = '700' then null else st_rule end as st_rule
       from reasons where garbled or n_errors > 0),
     counted as (
-      select *, (cpu_rule is not null)::int + (mem_rule is not null)::int
-          + (lat_rule is not null)::int + (st_rule is not null)::int as n_errors,
-        concat_ws('; ', 'cpu_percent ' || cpu_rule, 'memory_percent ' || mem_rule,
-          'latency_ms ' || lat_rule, 'status_code ' || st_rule) as listed,
+      select *, (id_rule is not null)::int + (time_rule is not null)::int + (meta_rule is not null)::int
+          + (cpu_rule is not null)::int + (mem_rule is not null)::int + (lat_rule is not null)::int + (st_rule is not null)::int as n_errors,
+        concat_ws('; ', 'event_id ' || id_rule, 'cpu_percent ' || cpu_rule, 'memory_percent ' || mem_rule,
+          'latency_ms ' || lat_rule, 'status_code ' || st_rule,
+        'timestamp ' || time_rule, 'metadata ' || meta_rule) as listed,
         {MD5_PART} as part
       from again)
     select seq, not garbled and n_errors = 0 as resolved,

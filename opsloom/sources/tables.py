@@ -90,8 +90,9 @@ VIEWS = {
           when event_id % 211 = 0 then concat('"garbled ', cast(event_id as string), '"')
           when event_id % 223 = 0 then concat('{"event_id":"', cast(event_id as string),
             '","service_name":"svc-', cast(user_id % 12 as string), '"}')
-          else concat('{"event_id":"', cast(event_id as string),
-            '","service_name":"svc-', cast(user_id % 12 as string),
+          else concat('{"event_id":', case when event_id % 233 = 0 then cast(event_id as string)
+               else concat('"', cast(event_id as string), '"') end,
+            ',"service_name":"svc-', cast(user_id % 12 as string),
             '","cpu_percent":', case when event_id % 229 = 0 then '"high"'
                when event_id % 17 = 0 then concat('"', cast(k as string), '.5"')
                else concat(cast(cast(floor(k * 11 / 10E0) as int) as string), '.', cast((k * 11) % 10 as string)) end,
@@ -101,7 +102,14 @@ VIEWS = {
                cast(abs(cents - 50) % 10 as string),
             ',"status_code":', case when event_id % 97 = 0 then '700'
                when event_type = 'error' then cast(500 + event_id % 5 as string)
-               when event_id % 31 = 0 then '200.5' else '200' end, '}') end as payload
+               when event_id % 31 = 0 then '200.5' else '200' end,
+            case when event_id % 239 = 0 then ',"timestamp":"garbage"'
+               when event_id % 10 = 0 then concat(',"timestamp":"', {TSTEXT}, '+05:30"')
+               when event_id % 10 = 1 then ',"timestamp":1704067200'
+               when event_id % 10 = 2 then ',"timestamp":"2024-02-29T23:59:59.5Z"' else '' end,
+            case when event_id % 241 = 0 then ',"metadata":"oops"'
+               when event_id % 251 = 0 then ',"metadata":null'
+               when event_id % 3 = 0 then ',"metadata":{"zone":"a","rack":7}' else '' end, '}') end as payload
         from (select *, cast(floor(value * 100E0 + 0.5E0) as bigint) as cents from {keyed_events}) e""",
     "raw_incidents": """
         select concat('TKT-', cast(o_orderkey as string)) as ticket_id,

@@ -112,6 +112,51 @@ def test_validation_reports_every_field(spark):
     assert valid[0]["metadata"] == {} and valid[0]["event_time"] is not None
 
 
+def test_types_times_and_metadata(spark):
+    add = lambda more: GOOD[:-1] + "," + more + "}"
+    payloads = [
+        (1, add('"timestamp":"garbage"')),
+        (2, add('"metadata":"oops"')),
+        (3, GOOD.replace('"e1"', "5")),
+        (4, add('"timestamp":"2024-01-01T10:00:00+05:30","metadata":{"a":1}')),
+        (5, add('"timestamp":1704067200000')),
+        (6, add('"timestamp":null')),
+        (7, add('"timestamp":{}')),
+        (8, add('"metadata":null')),
+        (9, add('"timestamp":"2024-01-01"')),
+        (10, add('"timestamp":"2024-13-01"')),
+    ]
+    df = spark.createDataFrame(payloads, "seq int, payload string")
+    broken = {r["seq"]: [(e["field"], e["rule"]) for e in r["errors"]] for r in validation.dead_letters(df).collect()}
+    assert broken == {
+        1: [("timestamp", "datetime_parsing")],
+        2: [("metadata", "dict_type")],
+        3: [("event_id", "string_type")],
+        6: [("timestamp", "datetime_type")],
+        7: [("timestamp", "datetime_type")],
+        8: [("metadata", "dict_type")],
+        10: [("timestamp", "datetime_parsing")],
+    }
+    shown = validation.valid_rows(df).select("seq", F.date_format("event_time", "yyyy-MM-dd HH:mm").alias("t"), "metadata")
+    got = {r["seq"]: (r["t"], r["metadata"]) for r in shown.collect()}
+    assert got == {
+        4: ("2024-01-01 04:30", {"a": "1"}),
+        5: ("2024-01-01 00:00", {}),
+        9: ("2024-01-01 00:00", {}),
+    }
+
+
+def test_diagnose_lists_are_bounded(spark):
+    body = '{"service_name":"s","observed_latency_ms":1,"error_logs":%s}'
+    many = "[" + ",".join(['{"m":1}'] * 101) + "]"
+    payloads = [(1, body % "[]"), (2, body % many), (3, body % '"x"'), (4, body % many.replace('{"m":1},', "", 1))]
+    df = spark.createDataFrame(payloads, "seq int, payload string")
+    found = validation.checked(df, validation.DIAGNOSE_PROFILE).collect()
+    assert {r["seq"]: [e["rule"] for e in r["errors"]] for r in found} == {
+        1: [], 2: ["too_long"], 3: ["list_type"], 4: [],
+    }
+
+
 def test_api_profile_is_stricter(spark):
     df = spark.createDataFrame(
         [
