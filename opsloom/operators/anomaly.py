@@ -168,9 +168,23 @@ def _verdicts(frames: np.ndarray, samples: np.ndarray) -> tuple:
     return z, mean, worst, size
 
 
+REJECTED = ("REJECTED", *[None] * 10)
+
+
 def fold_events(window: RollingWindow, values: np.ndarray, warmup: int = WARMUP_EVENTS) -> list[tuple]:
     """Scores the rows of ``values`` (events x metrics) in order, updating ``window``.
 
+    A row with a metric that is null, NaN or infinite is rejected: it gets no score and
+    never enters the window.
+    """
+    usable = np.isfinite(values).all(axis=1)
+    scored = iter(fold_finite(window, values[usable], warmup))
+    return [next(scored) if ok else REJECTED for ok in usable]
+
+
+def fold_finite(window: RollingWindow, values: np.ndarray, warmup: int) -> list[tuple]:
+    """The same for rows of finite metrics.
+
     Once the window is full, a block of events is scored as if all of them were accepted.
     Up to and including the first anomaly that is what happens; the block is cut there and
     the next one starts behind it.
@@ -234,16 +248,18 @@ SCORED_COLUMNS = [c.split()[0] for c in SCORED_SCHEMA.split(", ")]
 
 def scored_frame(service: str, seqs: np.ndarray, rows: list[tuple]) -> pd.DataFrame:
     frame = pd.DataFrame(rows, columns=SCORED_COLUMNS[2:])
+    frame["baseline_events"] = frame["baseline_events"].astype("Int32")
     frame.insert(0, "seq", seqs)
     frame.insert(0, "service_name", service)
     return frame
 
 
-def _fold_group(pdf: pd.DataFrame, state) -> tuple[pd.DataFrame, RollingWindow]:
+def _fold_group(pdf: pd.DataFrame, state, carry: Sequence[str] = ()) -> tuple[pd.DataFrame, RollingWindow]:
     pdf = pdf.sort_values("seq", kind="stable")
     window = RollingWindow(state)
     rows = fold_events(window, pdf[list(METRICS)].to_numpy(dtype=float))
-    return scored_frame(pdf["service_name"].iloc[0], pdf["seq"].to_numpy(), rows), window
+    frame = scored_frame(pdf["service_name"].iloc[0], pdf["seq"].to_numpy(), rows)
+    return frame.assign(**{c: pdf[c].to_numpy() for c in carry}), window
 
 
 def _first_state(starts: pd.DataFrame):
@@ -251,10 +267,17 @@ def _first_state(starts: pd.DataFrame):
 
 
 def rolling_ingest(
-    events: DataFrame, seq: str = "seq", fold_rows: int = FOLD_ROWS, split: bool | None = None
+    events: DataFrame,
+    seq: str = "seq",
+    fold_rows: int = FOLD_ROWS,
+    split: bool | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Status, worst verdict and z-scores of every event, in arrival order per service.
 
+    Columns named in ``carry`` come along unchanged. An event with a metric that is null,
+    NaN or infinite reads REJECTED and never enters a window.
+
     A service's history is one long dependency chain, so a hot service cannot be one task.
     Beyond a size check the chain is cut into folds that run side by side: each starts from
     the window its predecessor ended with in the previous round, and rounds repeat for the
@@ -265,13 +288,17 @@ def rolling_ingest(
     """
     ship_package(events.sparkSession)
     base = events.select(
-        "service_name", F.col(seq).cast("bigint").alias("seq"), *[F.col(m).cast("double").alias(m) for m in METRICS]
+        "service_name",
+        F.col(seq).cast("bigint").alias("seq"),
+        *[F.col(m).cast("double").alias(m) for m in METRICS],
+        *carry,
     )
+    schema = ", ".join([SCORED_SCHEMA, *[f"`{c}` {base.schema[c].dataType.simpleString()}" for c in carry]])
     if split is None:
         split = not fits_one_task(base, FOLD_BYTES)
     if not split:
         whole = base.groupBy("service_name").applyInPandas(
-            lambda pdf: _fold_group(pdf, None)[0], SCORED_SCHEMA
+            lambda pdf: _fold_group(pdf, None, carry)[0], schema
         )
         return shown(whole)
 
@@ -289,8 +316,8 @@ def rolling_ingest(
 
     def scored(key, pdf, starts):
         if pdf.empty:
-            return pd.DataFrame(columns=SCORED_COLUMNS)
-        return _fold_group(pdf, _first_state(starts))[0]
+            return pd.DataFrame(columns=[*SCORED_COLUMNS, *carry])
+        return _fold_group(pdf, _first_state(starts), carry)[0]
 
     def following(states: DataFrame) -> DataFrame:
         return states.select("service_name", (F.col("_chunk") + 1).alias("_chunk"), "state")
@@ -315,7 +342,7 @@ def rolling_ingest(
         kept = match(ends, changed.select(*keys), keys, "left_anti")
         used = starts
         ends = durable(kept.unionByName(again))
-    result = folds.groupBy(*keys).cogroup(starts.groupBy(*keys)).applyInPandas(scored, SCORED_SCHEMA)
+    result = folds.groupBy(*keys).cogroup(starts.groupBy(*keys)).applyInPandas(scored, schema)
     return shown(result)
 
 

@@ -172,8 +172,7 @@ def rate_limited_alert(v: Views):
       from {ends_sql(24 * HOUR, HOUR, "timed")} group by t)""",
 )
 def critical_anomaly_alert(v: Views):
-    scored = anomaly.rolling_ingest(v.telemetry).select("seq", "severity")
-    timed = scored.join(v.telemetry.select("seq", "ts"), "seq")
+    timed = anomaly.rolling_ingest(v.telemetry, carry=["ts"])
     return httpmetrics.critical_anomalies(timed, 24 * HOUR, HOUR).select(_time("t"), "criticals", "alert")
 
 

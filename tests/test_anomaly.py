@@ -34,6 +34,20 @@ def test_warmup_then_normal_then_spike(spark, split):
     assert not after["is_anomaly"] and after["baseline_events"] == 22
 
 
+@pytest.mark.parametrize("split", [False, True])
+def test_unusable_readings_stay_out_of_the_window(spark, split):
+    latencies = [*warmup(), float("nan"), 43, float("inf"), 9000, None]
+    df = spark.createDataFrame(
+        [("s", i, 31.0, 40.0, x if x is None else float(x)) for i, x in enumerate(latencies)], SCHEMA
+    ).withColumn("ts", F.timestamp_seconds("seq"))
+    got = rows(anomaly.rolling_ingest(df, split=split, fold_rows=7, carry=["ts"]), "seq")
+    assert [r["status"] for r in got[20:]] == ["REJECTED", "SCORED", "REJECTED", "SCORED", "REJECTED"]
+    assert got[20]["baseline_events"] is None and got[20]["severity"] is None
+    assert got[21]["severity"] == "NORMAL" and got[21]["baseline_events"] == 21
+    assert got[23]["severity"] == "CRITICAL"
+    assert [r["ts"] for r in got] == [r["ts"] for r in rows(df, "seq")]
+
+
 def test_memory_leak_with_normal_latency(spark):
     df = events(spark, [*warmup(), 42], memory=lambda i: 95 if i == 20 else 40 + i % 3)
     leak = rows(anomaly.rolling_ingest(df), "seq")[-1]
