@@ -41,6 +41,10 @@ BUCKETS = (0.01, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0)
 PROBE_ENDPOINTS = ("/health", "/metrics")
 NOT_INTERACTIVE = "^/v1/(eval|airflow)/"
 REQUESTS_PER_MINUTE = 10
+# Fixed values of the alert rules: limits, and the minutes that a condition must hold.
+ERROR_PCT, ERROR_HOLD = 1.0, 5
+LATENCY_P95_S, LATENCY_HOLD = 0.5, 10
+LIMITED_PER_SECOND, LIMITED_HOLD = 1.0, 10
 
 SECOND = 1_000_000
 MINUTE = 60 * SECOND
@@ -191,6 +195,28 @@ def alert_streaks(
     )
 
 
+def error_rate_rule(log: DataFrame) -> DataFrame:
+    """More than 1 % of requests fail over 5 minutes, for 5 minutes."""
+    return alert_streaks(
+        error_ratio(log), F.col("error_pct") > ERROR_PCT, MINUTE, ERROR_HOLD * MINUTE
+    )
+
+
+def latency_rule(log: DataFrame) -> DataFrame:
+    """The 95th percentile of interactive endpoints is above 0.5 s over 5 minutes, for 10 minutes."""
+    quantiles = latency_quantile(log, keys=(), interactive_only=True)
+    return alert_streaks(
+        quantiles, F.col("quantile_s") > LATENCY_P95_S, MINUTE, LATENCY_HOLD * MINUTE
+    )
+
+
+def rate_limited_rule(log: DataFrame) -> DataFrame:
+    """More than one 429 answer a second over 5 minutes, for 10 minutes."""
+    return alert_streaks(
+        limited_rate(log), F.col("per_second") > LIMITED_PER_SECOND, MINUTE, LIMITED_HOLD * MINUTE
+    )
+
+
 def target_down(log: DataFrame, step_us: int = 2 * MINUTE, for_us: int = 2 * MINUTE) -> DataFrame:
     """Runs of steps without any request between the first and the last one."""
     present = sliding(log, [], {"requests": F.count(F.lit(1))}, step_us, step_us).select("t")

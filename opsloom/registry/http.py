@@ -188,6 +188,72 @@ def alert_for_duration(v: Views):
     )
 
 
+# The alert rules with their own windows, limits and holds, over the dense log.
+DENSE_SQL = LOG_SQL.replace("{access_log}", "{dense_log}")
+
+
+def _dense(v: Views):
+    return httpmetrics.with_endpoint(v.dense_log)
+
+
+@query(
+    "error_rate_rule",
+    f"""with {DENSE_SQL}, series as (
+      select t, count(*) filter (where status_code between 500 and 599) * 100.0 / count(*) as error_pct
+      from {ends_sql(300_000_000, 60_000_000, "log")} group by t),
+    {streaks_sql("error_pct > 1", 60_000_000, 300_000_000)}""",
+)
+def error_rate_rule(v: Views):
+    return _shown(httpmetrics.error_rate_rule(_dense(v)))
+
+
+@query(
+    "high_latency_rule",
+    f"""with {DENSE_SQL}, numbered as ({quantile_sql("", 300_000_000, 60_000_000, "endpoint not like '/v1/eval/%' and endpoint not like '/v1/airflow/%'")}),
+    series as (select epoch_us(strptime(t, '%Y-%m-%d %H:%M:%S')) as t, quantile_s from numbered),
+    {streaks_sql("quantile_s > 0.5", 60_000_000, 600_000_000)}""",
+)
+def high_latency_rule(v: Views):
+    return _shown(httpmetrics.latency_rule(_dense(v)))
+
+
+@query(
+    "rate_limited_rule",
+    f"""with {DENSE_SQL}, series as (select t, count(*) filter (where status_code = 429) / 300.0 as per_second
+      from {ends_sql(300_000_000, 60_000_000, "log")} group by t),
+    {streaks_sql("per_second > 1", 60_000_000, 600_000_000)}""",
+)
+def rate_limited_rule(v: Views):
+    return _shown(httpmetrics.rate_limited_rule(_dense(v)))
+
+
+@query(
+    "critical_anomaly_rule",
+    ROLLING_SQL + f""", timed as (select r.severity, t.ts from rolled r join dense_telemetry t using (seq))
+    select {time_sql("t")}, criticals, criticals > 5 as alert from (
+      select t, count(*) filter (where severity = 'CRITICAL') as criticals
+      from {ends_sql(600_000_000, 60_000_000, "timed")} group by t) -- {{dense_telemetry}}
+    """,
+)
+def critical_anomaly_rule(v: Views):
+    timed = anomaly.rolling_ingest(v.dense_telemetry, carry=["ts"])
+    return httpmetrics.critical_anomalies(timed).select(_time("t"), "criticals", "alert")
+
+
+@query(
+    "requests_per_minute_rule",
+    """with placed as (select event_id, client, date_trunc('minute', ts) as minute,
+        row_number() over (partition by client, date_trunc('minute', ts) order by ts, event_id) as place
+      from {dense_log})
+    select event_id, client, strftime(minute, '%Y-%m-%d %H:%M:%S') as window_start,
+      place > 10 as limited, case when place > 10 then 429 else 200 end as answer from placed""",
+)
+def requests_per_minute_rule(v: Views):
+    rows = httpmetrics.fixed_window_limit(v.dense_log)
+    start = F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start")
+    return rows.select("event_id", "client", start, "limited", "answer")
+
+
 @query(
     "target_down",
     f"""with present as (select distinct (epoch_us(ts) + {2 * MINUTE} - 1) // {2 * MINUTE} * {2 * MINUTE} as t from {{access_log}}),

@@ -30,6 +30,7 @@ SPARK_TOKENS = {
     "START": "date_format(o_orderdate, 'yyyy-MM-dd HH:mm:ss')",
     "END": "date_format(timestampadd(SECOND, cast(floor(o_totalprice) as bigint) % 14400, "
     "o_orderdate), 'yyyy-MM-dd HH:mm:ss')",
+    "FOLDED": "timestamp_seconds(1704067200 + unix_seconds(ts) % 1800)",
     "INF": "double('infinity')",
     "NAN": "double('nan')",
     "TSTEXT": "date_format(ts, 'yyyy-MM-dd HH:mm:ss')",
@@ -42,6 +43,7 @@ SQL_TOKENS = {
     "START": "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')",
     "END": "strftime(o_orderdate + to_seconds(cast(floor(o_totalprice) as bigint) % 14400), "
     "'%Y-%m-%d %H:%M:%S')",
+    "FOLDED": "make_timestamp((1704067200 + epoch_us(ts) // 1000000 % 1800) * 1000000)",
     "INF": "'infinity'::double",
     "NAN": "'nan'::double",
     "TSTEXT": "strftime(ts, '%Y-%m-%d %H:%M:%S')",
@@ -138,6 +140,16 @@ VIEWS = {
           value / 50E0 as duration_s, concat('10.0.0.', cast(user_id % 50 as string)) as client,
           concat('req-', cast(cast(floor(event_id / 3E0) as bigint) as string)) as request_id
         from (select event_id, user_id, event_type, value, {TS} as ts from {events}) e""",
+    # The same log and telemetry with all times folded into half an hour and every third
+    # request limited: dense enough for the alert rules' own windows.
+    "dense_log": """
+        select event_id, {FOLDED} as ts, method, path,
+          case when event_id % 3 = 0 then 429 else status_code end as status_code,
+          duration_s, client, request_id
+        from {access_log}""",
+    "dense_telemetry": """
+        select event_id, service_name, cpu_percent, memory_percent, latency_ms, status_code,
+          {FOLDED} as ts, seq from {telemetry}""",
     # Access-log lines as structured JSON, some without a request id.
     "log_lines": """
         select event_id as seq, concat('{"ts":"', {TSTEXT}, '","level":"',

@@ -203,3 +203,27 @@ def test_first_streamed_decision_wins(spark, tmp_path):
     stream = spark.readStream.schema(decisions.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = run_stream(spark, accepted_decisions(stream, planned), "accepted")
     assert [r["ticket_id"] for r in got.collect()] == [1]
+
+
+def test_alert_rules_hold_as_long_as_they_say(spark):
+    """20 minutes of bad requests, each rule fires after its own hold; 4 minutes stay pending."""
+    def log(minutes):
+        n = minutes * 60 * 4
+        return spark.range(n).select(
+            F.timestamp_seconds(F.floor(F.col("id") / 4) + 1).alias("ts"),
+            F.lit("/v1/rag/search").alias("endpoint"),
+            F.when(F.col("id") % 4 == 0, 500).when(F.col("id") % 4 < 3, 429).otherwise(200).alias("status_code"),
+            F.lit(0.9).alias("duration_s"),
+        )
+
+    rules = {
+        httpmetrics.error_rate_rule: 5,
+        httpmetrics.latency_rule: 10,
+        httpmetrics.rate_limited_rule: 10,
+    }
+    for rule, hold in rules.items():
+        (long,) = rule(log(20)).collect()
+        assert long["state"] == "firing"
+        assert long["firing_from"] - long["started"] == hold * httpmetrics.MINUTE
+    (short,) = httpmetrics.latency_rule(log(4)).collect()
+    assert short["state"] == "pending" and short["firing_from"] is None
