@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from opsloom.functions.numeric import tidy
 from opsloom.plans.joins import match
 from opsloom.plans.quantiles import exact_quantiles
-from opsloom.plans.sizing import fits_one_task
+from opsloom.plans.sizing import fits_one_task, small_side
 
 PROBS = (0.50, 0.95, 0.99)
 LATENCY_COLUMNS = ("latency_p50_ms", "latency_p95_ms", "latency_p99_ms")
@@ -76,6 +76,29 @@ def service_sla_approx(
     return _ordered(flat, keys)
 
 
+def approx_within_bound(
+    events: DataFrame, approx: DataFrame, accuracy: int = 10_000
+) -> DataFrame:
+    """service_name and, per quantile, whether its rank is as near as ``accuracy`` promises.
+
+    One pass counts the latencies below and up to each estimate, rounded as the estimates
+    are. A service without any latency has no estimate and null verdicts.
+    """
+    near = small_side(approx.select("service_name", *LATENCY_COLUMNS))
+    latencies = events.select("service_name", tidy(F.col("latency_ms"), 2).alias("_ms"))
+    rows = latencies.where("_ms is not null").join(near, "service_name")
+    n = F.count(F.lit(1))
+    found = []
+    for share, c in zip(PROBS, LATENCY_COLUMNS, strict=True):
+        below = F.count_if(F.col("_ms") < F.col(c)) / n
+        upto = F.count_if(F.col("_ms") <= F.col(c)) / n
+        # The estimate itself is one of the latencies, which may be off by one rank.
+        slack = F.lit(1.0 / accuracy) + 1 / n
+        found.append(((below <= share + slack) & (upto >= share - slack)).alias(f"{c}_close"))
+    judged = rows.groupBy("service_name").agg(*found)
+    return near.select("service_name").join(judged, "service_name", "left")
+
+
 def service_sla_daily(
     events: DataFrame, time_col: str = "ts", split: bool | None = None
 ) -> DataFrame:

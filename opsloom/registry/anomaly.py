@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from opsloom.operators import anomaly, iforest
+from opsloom.plans.durable import durable
 from opsloom.registry import Views, query
 
 METRICS = anomaly.METRICS
@@ -198,5 +199,6 @@ def iforest_fit(v: Views):
 @query("iforest_score")
 def iforest_score(v: Views):
     events = v.telemetry.select("service_name", "seq", *METRICS)
-    scored = iforest.score_samples(events, iforest.fit_nodes(events))
+    # Written once: the offset and the verdicts both read it.
+    scored = durable(iforest.score_samples(events, iforest.fit_nodes(events)))
     return iforest.forest_verdicts(scored, iforest.training_offset(scored)).drop(*METRICS)

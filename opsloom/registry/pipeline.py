@@ -271,6 +271,22 @@ def service_sla_approx(v: Views):
     return sla.service_sla_approx(v.telemetry)
 
 
+@query(
+    "service_sla_approx_bound",
+    """select service_name, count(*) as total_requests,
+      count(*) filter (where status_code >= 500) as total_errors_5xx,
+      count(latency_ms) > 0 as latency_p50_ms_close, count(latency_ms) > 0 as latency_p95_ms_close,
+      count(latency_ms) > 0 as latency_p99_ms_close
+    from {telemetry} where service_name is not null group by service_name""",
+)
+def service_sla_approx_bound(v: Views):
+    """The sketch's counts, and whether its quantiles keep to their promised ranks."""
+    approx = sla.service_sla_approx(v.telemetry)
+    close = sla.approx_within_bound(v.telemetry, approx)
+    counts = approx.select("service_name", "total_requests", "total_errors_5xx")
+    return counts.join(close, "service_name")
+
+
 @query(
     "service_sla_daily",
     f"""select service_name, strftime(ts, '%Y-%m-%d') as day, {SLA_SELECT} from {{telemetry}}

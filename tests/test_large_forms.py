@@ -119,3 +119,15 @@ def test_no_machine_local_folder_on_a_cluster():
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         durable.local_folder("spark://host:7077")
     assert durable.local_folder("local[4]")
+
+
+def test_sketch_bound_notices_a_wrong_estimate(telemetry):
+    approx = sla.service_sla_approx(telemetry)
+    close = ["latency_p50_ms_close", "latency_p95_ms_close", "latency_p99_ms_close"]
+    right = {r["service_name"]: r for r in sla.approx_within_bound(telemetry, approx).collect()}
+    assert set(right) == {"hot", "b", "silent"}
+    assert all(right[s][c] for s in ("hot", "b") for c in close)
+    assert all(right["silent"][c] is None for c in close)
+    shifted = approx.withColumn("latency_p50_ms", F.col("latency_p50_ms") + 2)
+    wrong = {r["service_name"]: r for r in sla.approx_within_bound(telemetry, shifted).collect()}
+    assert not wrong["hot"]["latency_p50_ms_close"] and wrong["hot"]["latency_p95_ms_close"]
