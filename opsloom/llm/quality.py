@@ -137,9 +137,13 @@ def text_measures(text: pd.Series) -> pd.Series:
 
 
 def measured(docs: DataFrame, ids: DataFrame) -> np.ndarray:
-    """Measures of the documents with these ids: ``ids`` is a bounded sample."""
+    """Measures of the documents with these ids: ``ids`` is a bounded sample.
+
+    However often ``docs`` repeats an id, it gives one row: the least of its measures.
+    """
     chosen = docs.select("doc_id", "text").join(F.broadcast(ids.select("doc_id").distinct()), "doc_id")
-    rows = [r["m"] for r in chosen.select(text_measures("text").alias("m")).collect()]
+    each = chosen.select("doc_id", text_measures("text").alias("m")).groupBy("doc_id").agg(F.min("m").alias("m"))
+    rows = [r["m"] for r in each.collect()]
     return np.array(rows, dtype=float).reshape(len(rows), -1)
 
 

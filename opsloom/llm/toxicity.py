@@ -189,7 +189,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def calibrated(lexicon: dict[str, float], rows: DataFrame) -> Model:
-    """Fits the probability to the sample's strengths by Newton steps with a weak prior."""
+    """Fits the probability to the sample's strengths by Newton steps with a weak prior.
+
+    A repeated id counts once, with the largest strength among its texts.
+    """
     model = Model(lexicon)
 
     @F.pandas_udf(DoubleType())
@@ -197,7 +200,8 @@ def calibrated(lexicon: dict[str, float], rows: DataFrame) -> Model:
         automaton = model.automaton()
         return text.map(lambda t: strength(automaton, t)).astype(float)
 
-    pairs = rows.select(weigh("text").alias("x"), F.col("toxic").cast("int").alias("y")).collect()
+    weighed = rows.select("doc_id", weigh("text").alias("x"), F.col("toxic").cast("int").alias("y"))
+    pairs = weighed.groupBy("doc_id", "y").agg(F.max("x").alias("x")).collect()
     x = np.array([[1.0, p["x"]] for p in pairs])
     y = np.array([p["y"] for p in pairs], dtype=float)
     start = np.array([Model.bias, Model.slope])

@@ -101,3 +101,14 @@ def test_pipeline(spark, documents):
 def test_entry_lists_the_corpus_queries():
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+
+
+def test_a_repeated_id_reaches_the_driver_once(spark, documents):
+    docs = documents([(1, "some words here")] * 50 + [(1, "OTHER WORDS!!")] * 50 + [(2, None), (3, "x")])
+    ids = spark.createDataFrame([(1,), (1,), (2,)], "doc_id long")
+    found = quality.measured(docs, ids)
+    assert len(found) == 2
+    assert sorted(map(tuple, found)) == sorted(map(tuple, quality.measured(docs.repartition(5), ids)))
+    rows = docs.selectExpr("doc_id", "text", "doc_id = 1 as toxic")
+    pairs = toxicity.calibrated(toxicity.seed_lexicon(), rows)
+    assert pairs.slope > 0
