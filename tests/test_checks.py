@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import rows_of
-from conftest import SMALL
+from tests.conftest import SMALL
 from opsloom.sources.tables import BASE_TABLES
 
 QUERIES = entry.queries()
