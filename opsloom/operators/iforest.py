@@ -1,8 +1,14 @@
-"""Isolation forest on (cpu, memory, latency): trees from a bounded sample, scoring in batches."""
+"""Isolation forest on (cpu, memory, latency): trees from a bounded sample, scoring in batches.
+
+Rows, split features and thresholds are drawn from MD5 digests of what they belong to, so a
+forest depends on the data alone and any engine with MD5 can grow the same one.
+"""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,8 +30,12 @@ CRITICAL_SCORE = -0.65
 EULER_GAMMA = 0.5772156649
 
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, path double"
-# Candidate rows drawn per sampled row, so that the smallest hashes are surely among them.
+# Candidate rows drawn per sampled row, so that the first places are surely among them.
 OVERSAMPLE = 4
+# A row's place in a tree is a number below this prime.
+PLACES = 2147483647
+# Digits that scores keep: the order in which paths are added up must not decide.
+SCORE_DIGITS = 9
 
 
 def average_path(n):
@@ -37,52 +47,62 @@ def average_path(n):
 
 
 def training_sample(events: DataFrame, row_id: str, trees: int, psi: int, seed: int) -> DataFrame:
-    """``psi`` rows per tree by hash order: the same rows under any partitioning.
+    """``psi`` rows per tree, or all if there are fewer: the same rows under any partitioning.
 
-    A hash threshold keeps a few multiples of the wanted rows during the scan; only those
-    are ranked. With fewer rows than trees x psi every tree ranks all of them by its own hash.
+    One digest per row gives two numbers, and they give the row a place in each tree. A limit
+    on the places keeps a few multiples of the wanted rows during the scan; only those are
+    ranked. Rows with a metric that is null, NaN or infinite are left out.
     """
-    wanted = trees * psi
-    total = events.count()
-    base = events.select(F.col(row_id).alias("_id"), *[F.col(m).cast("double").alias(m) for m in METRICS])
-    base = base.withColumn("_h", F.xxhash64("_id", F.lit(seed)))
-    if total >= wanted:
-        if total > wanted * OVERSAMPLE:
-            limit = int(-(2**63) + (2**64) * (wanted * OVERSAMPLE / total))
-            base = base.where(F.col("_h") < limit)
-        pool = base.orderBy("_h", "_id").limit(wanted)
-        place = F.row_number().over(W.partitionBy(F.lit(1)).orderBy("_h", "_id")) - 1
-        return pool.withColumn("tree", (place % trees).cast("int")).drop("_h")
-    each = base.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    own = F.xxhash64("_id", "tree", F.lit(seed))
-    rank = F.row_number().over(W.partitionBy("tree").orderBy("_t", "_id"))
-    return each.withColumn("_t", own).withColumn("_r", rank).where(F.col("_r") <= psi).drop("_h", "_t", "_r")
+    base = usable(events.select(F.col(row_id).alias("_id"), *[F.col(m).cast("double").alias(m) for m in METRICS]))
+    total = base.count()
+    limit = PLACES if total <= psi * OVERSAMPLE else int(PLACES * (psi * OVERSAMPLE / total))
+    digest = F.md5(F.concat_ws("|", F.lit("forest"), F.lit(str(seed)), F.col("_id").cast("string")))
+    number = lambda at: F.conv(F.substring(F.col("_d"), at, 8), 16, 10).cast("bigint")
+    drawn = base.withColumn("_d", digest).select(
+        "_id", *METRICS, (number(1) % PLACES).alias("_a"), (number(9) % (PLACES - 1) + 1).alias("_b")
+    )
+    place = lambda tree: (F.col("_a") + tree * F.col("_b")) % PLACES
+    chosen = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: place(tree) < limit)
+    each = drawn.withColumn("tree", F.explode(chosen)).withColumn("_place", place(F.col("tree")))
+    rank = F.row_number().over(W.partitionBy("tree").orderBy("_place", "_id"))
+    return each.withColumn("_r", rank).where(F.col("_r") <= psi).select("_id", *METRICS, "tree")
+
+
+def usable(events: DataFrame) -> DataFrame:
+    finite = [F.col(m).isNotNull() & ~F.isnan(m) & (F.abs(m) < float("inf")) for m in METRICS]
+    return events.where(reduce(lambda a, b: a & b, finite))
+
+
+def draw(seed: int, tree: int, node: int) -> tuple[int, float]:
+    """A number to choose the feature by and a position between 0 and 1."""
+    digest = hashlib.md5(f"{seed}|{tree}|{node}".encode()).hexdigest()
+    return int(digest[:8], 16), int(digest[8:16], 16) / 2**32
 
 
 def grow_tree(pdf: pd.DataFrame, seed: int, psi: int) -> pd.DataFrame:
-    """One random tree as a node table; ``path`` is the depth credited at a leaf."""
-    pdf = pdf.sort_values("_id", kind="stable")
+    """One random tree as a node table; ``path`` is the depth credited at a leaf.
+
+    The root is node 0; the children of a node n are 2n + 1 and 2n + 2.
+    """
     tree = int(pdf["tree"].iloc[0])
     rows = pdf[list(METRICS)].to_numpy(dtype=float)
-    rng = np.random.default_rng([seed, tree])
     limit = int(np.ceil(np.log2(max(2, min(psi, len(rows))))))
     nodes = []
     pending = [(0, rows, 0)]
-    created = 1
     while pending:
         node, part, depth = pending.pop()
-        spread = [f for f in range(part.shape[1]) if part[:, f].min() < part[:, f].max()] if len(part) > 1 else []
-        if depth >= limit or not spread:
+        low, high = part.min(axis=0), part.max(axis=0)
+        spread = np.flatnonzero(low < high)
+        if depth >= limit or not len(spread):
             nodes.append((tree, node, -1, 0.0, -1, -1, depth + float(average_path(len(part)))))
             continue
-        feature = int(rng.choice(spread))
-        low, high = part[:, feature].min(), part[:, feature].max()
-        threshold = float(rng.uniform(low, high))
-        if threshold >= high:
-            threshold = float(low)
+        choice, position = draw(seed, tree, node)
+        feature = int(spread[choice % len(spread)])
+        threshold = float(low[feature] + (high[feature] - low[feature]) * position)
+        if threshold >= high[feature]:
+            threshold = float(low[feature])
         goes_left = part[:, feature] <= threshold
-        left, right = created, created + 1
-        created += 2
+        left, right = 2 * node + 1, 2 * node + 2
         nodes.append((tree, node, feature, threshold, left, right, 0.0))
         pending.append((left, part[goes_left], depth + 1))
         pending.append((right, part[~goes_left], depth + 1))
@@ -105,8 +125,9 @@ def _forest_arrays(nodes: DataFrame, trees: int, psi: int) -> list[tuple]:
     if len(table) > bound:
         raise ValueError("the node table is larger than the forest it should describe")
     forest = []
-    for _, part in table.sort_values(["tree", "node"]).groupby("tree"):
-        forest.append(tuple(part[c].to_numpy() for c in ("feature", "threshold", "left", "right", "path")))
+    for _, part in table.groupby("tree", sort=True):
+        by_node = part.set_index("node").reindex(range(int(part["node"].max()) + 1), fill_value=-1)
+        forest.append(tuple(by_node[c].to_numpy() for c in ("feature", "threshold", "left", "right", "path")))
     return forest
 
 
@@ -130,7 +151,7 @@ def path_lengths(forest: list[tuple], values: np.ndarray) -> np.ndarray:
 def score_samples(
     events: DataFrame, nodes: DataFrame, trees: int = TREES, psi: int = SAMPLE_ROWS, rows_fitted: int | None = None
 ) -> DataFrame:
-    """Adds ``score`` in (-1, 0); the lower, the more isolated."""
+    """Adds ``score`` in (-1, 0); the lower, the more isolated. Unusable rows have none."""
     ship_package(events.sparkSession)
     forest = events.sparkSession.sparkContext.broadcast(_forest_arrays(nodes, trees, psi))
     scale = float(average_path(min(psi, rows_fitted or psi)))
@@ -138,11 +159,13 @@ def score_samples(
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             values = batch[list(METRICS)].to_numpy(dtype=float)
-            batch["score"] = -np.power(2.0, -path_lengths(forest.value, values) / scale)
+            score = -np.power(2.0, -path_lengths(forest.value, values) / scale)
+            batch["score"] = np.where(np.isfinite(values).all(axis=1), np.round(score, SCORE_DIGITS), np.nan)
             yield batch
 
     fields = ", ".join(f"`{n}` {t}" for n, t in events.dtypes)
-    return events.mapInPandas(score, f"{fields}, score double")
+    scored = events.mapInPandas(score, f"{fields}, score double")
+    return scored.withColumn("score", F.nanvl("score", F.lit(None).cast("double")))
 
 
 def training_offset(scored: DataFrame, contamination: float = CONTAMINATION) -> float:
@@ -154,7 +177,7 @@ def training_offset(scored: DataFrame, contamination: float = CONTAMINATION) ->
 
 def forest_verdicts(scored: DataFrame, offset: float) -> DataFrame:
     """Flag, severity and confidence from the score."""
-    flagged = F.col("score") < offset
+    flagged = F.coalesce(F.col("score") < offset, F.lit(False))
     severity = F.when(flagged & (F.col("score") < CRITICAL_SCORE), "CRITICAL").when(flagged, "WARNING")
     return scored.select(
         *[c for c in scored.columns if c != "score"],

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from opsloom.operators import anomaly, iforest
 from opsloom.plans.durable import durable
-from opsloom.registry import Views, query
+from opsloom.registry import Views, query, rounded
 
 METRICS = anomaly.METRICS
 VERDICT = "metric_name is_anomaly confidence severity observed_value baseline_mean z_score".split()
@@ -188,7 +188,68 @@ def detectors_fired(v: Views):
     return fired.select("seq", F.array_join("f", ",").alias("fired"), (F.size("f") > 0).alias("detected"))
 
 
-@query("iforest_fit")
+def _average_path_sql(n: str) -> str:
+    return f"case when {n} <= 1 then 0e0 when {n} = 2 then 1e0 else 2e0 * (ln({n} - 1e0) + 0.5772156649e0) - 2e0 * ({n} - 1e0) / {n} end"
+
+
+def _draw_sql(first: int) -> str:
+    return f"('0x' || substr(md5('42|' || tree || '|' || node), {first}, 8))::bigint"
+
+
+# 100 trees of 256 rows each, 42 as seed; level by level, every row goes left or right.
+FOREST_SQL = f"""with recursive pool as (
+  select seq, cpu_percent as f0, memory_percent as f1, latency_ms as f2, md5('forest|42|' || seq) as d,
+    count(*) over () as total from {{telemetry}}),
+drawn as (
+  select *, ('0x' || substr(d, 1, 8))::bigint % 2147483647 as a, ('0x' || substr(d, 9, 8))::bigint % 2147483646 + 1 as b from pool),
+placed as (
+  select tree, seq, f0, f1, f2, total, (a + tree * b) % 2147483647 as place from drawn, range(100) as t(tree)),
+sample as (
+  select * from placed
+  where total <= 1024 or place < cast(floor(2147483647 * (1024e0 / total)) as bigint)
+  qualify row_number() over (partition by tree order by place, seq) <= 256),
+grown as (
+  select tree, 0::bigint as node, 0 as depth, f0, f1, f2, ceil(log2(greatest(2, count(*) over (partition by tree)))) as deepest from sample
+  union all
+  select tree, 2 * node + case when case feature when 0 then f0 when 1 then f1 else f2 end
+      <= case when threshold >= high then low else threshold end then 1 else 2 end, depth + 1, f0, f1, f2, deepest
+  from (select *, low + (high - low) * part as threshold from (
+    select *, [lo0, lo1, lo2][feature + 1] as low, [hi0, hi1, hi2][feature + 1] as high from (
+      select *, spread[choice % len(spread) + 1] as feature from (
+        select *, list_filter([0, 1, 2], lambda x: [lo0 < hi0, lo1 < hi1, lo2 < hi2][x + 1]) as spread,
+          {_draw_sql(1)} as choice, {_draw_sql(9)} / 4294967296e0 as part
+        from (select *, min(f0) over w as lo0, max(f0) over w as hi0, min(f1) over w as lo1, max(f1) over w as hi1,
+            min(f2) over w as lo2, max(f2) over w as hi2 from grown where depth < deepest window w as (partition by tree, node)))
+      where len(spread) > 0)))),
+ranges as (
+  select tree, node, any_value(depth) as depth, count(*) as n, any_value(deepest) as deepest, min(f0) as lo0, max(f0) as hi0,
+    min(f1) as lo1, max(f1) as hi1, min(f2) as lo2, max(f2) as hi2 from grown group by tree, node),
+split as (
+  select *, list_filter([0, 1, 2], lambda x: [lo0 < hi0, lo1 < hi1, lo2 < hi2][x + 1] and depth < deepest) as spread,
+    {_draw_sql(1)} as choice, {_draw_sql(9)} / 4294967296e0 as part from ranges),
+chosen as (
+  select *, case when len(spread) > 0 then spread[choice % len(spread) + 1] else -1 end as feature from split),
+nodes as (
+  select tree, node, feature, case when low + (high - low) * part >= high then low else low + (high - low) * part end as threshold,
+    case when feature < 0 then depth + {_average_path_sql("n")} else 0e0 end as path
+  from (select *, [lo0, lo1, lo2][feature + 1] as low, [hi0, hi1, hi2][feature + 1] as high from chosen)),
+walked as (
+  select service_name, seq, tree, 0::bigint as node, cpu_percent as f0, memory_percent as f1, latency_ms as f2
+  from {{telemetry}}, range(100) as t(tree)
+  union all
+  select service_name, seq, w.tree, 2 * w.node + case when case feature when 0 then f0 when 1 then f1 else f2 end <= threshold then 1 else 2 end,
+    f0, f1, f2
+  from walked w join nodes n on n.tree = w.tree and n.node = w.node where n.feature >= 0),
+depths as (
+  select service_name, seq, sum(path) / 100 as path from walked w join nodes n on n.tree = w.tree and n.node = w.node and n.feature < 0 group by all),
+scores as (
+  select service_name, seq, round(-pow(2e0, -path / ({_average_path_sql("256e0")})), 9) as score from depths),
+forest as (
+  select *, score < (select quantile_cont(score, 0.05) from scores) as is_anomaly from scores)"""
+
+
+@query("iforest_fit", FOREST_SQL + """ select tree::int as tree, count(*) as nodes, round(max(path), 4) as deepest
+    from nodes group by tree""")
 def iforest_fit(v: Views):
     nodes = iforest.fit_nodes(v.telemetry)
     return nodes.groupBy("tree").agg(
@@ -196,9 +257,39 @@ def iforest_fit(v: Views):
     )
 
 
-@query("iforest_score")
-def iforest_score(v: Views):
+def _forest(v: Views):
     events = v.telemetry.select("service_name", "seq", *METRICS)
     # Written once: the offset and the verdicts both read it.
     scored = durable(iforest.score_samples(events, iforest.fit_nodes(events)))
-    return iforest.forest_verdicts(scored, iforest.training_offset(scored)).drop(*METRICS)
+    return iforest.forest_verdicts(scored, iforest.training_offset(scored))
+
+
+def forest_flagged(v: Views):
+    return _forest(v).select("service_name", "seq", *METRICS, F.col("is_anomaly").alias("forest_flag"))
+
+
+@query(
+    "iforest_score",
+    FOREST_SQL + f""" select service_name, seq, 'multivariate_telemetry' as metric_name, is_anomaly,
+      {rounded("-score", 2)} as confidence, case when not is_anomaly then 'NORMAL' when score < -0.65 then 'CRITICAL'
+        else 'WARNING' end as severity, {rounded("score", 4)} as anomaly_score from forest""",
+)
+def iforest_score(v: Views):
+    return _forest(v).drop(*METRICS)
+
+
+@query(
+    "detectors_fired_forest",
+    FOREST_SQL + ", " + SCORED_SQL.removeprefix("with ") + """, names as (
+      select seq, 'zscore:' || metric_name as name,
+        case metric_name when 'latency_ms' then 0 when 'cpu_percent' then 1 else 2 end as pos from scored where is_anomaly
+      union all select seq, 'isolation_forest', 3 from forest where is_anomaly)
+    select seq, coalesce(string_agg(name, ',' order by pos), '') as fired, count(name) > 0 as detected
+    from {telemetry} left join names using (seq) group by seq""",
+)
+def detectors_fired_forest(v: Views):
+    """All detectors together: the z-scores and the forest."""
+    forest = forest_flagged(v)
+    scored = anomaly.zscore_score(forest, anomaly.baseline_stats(forest))
+    fired = scored.select("seq", anomaly.detectors_fired(F.col("scores"), F.col("forest_flag")).alias("f"))
+    return fired.select("seq", F.array_join("f", ",").alias("fired"), (F.size("f") > 0).alias("detected"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from opsloom.functions.faults import RUNBOOKS, by_fault, classify_fault
 from opsloom.operators import anomaly, evaluation
 from opsloom.registry import Views, exactly_rounded, query, rounded
-from opsloom.registry.anomaly import SCORED_SQL
+from opsloom.registry.anomaly import FOREST_SQL, SCORED_SQL, forest_flagged
 from opsloom.registry.response import GATED_SQL, executed, fault_sql, map_sql
 from opsloom.sources.tables import TICKET_TEMPLATES
 
@@ -56,9 +56,9 @@ def rag_gate(v: Views):
     return evaluation.grounding_gate(_scores(v))
 
 
-@query(
-    "detection_eval",
-    SCORED_SQL + f""", flagged as (select seq, bool_or(is_anomaly) as detected from scored group by seq),
+def detection_sql(flagged: str) -> str:
+    """Check SQL of the detection rates, from CTEs ending in ``scored`` and the CTE ``flagged``."""
+    return f""", flagged as ({flagged}),
     cases as (select detected, case when latency_ms > 1500 then 'LATENCY_SPIKE' else 'HEALTHY' end as kind,
         {map_sql(fault_sql("message"), RUNBOOKS)} = '{RUNBOOKS["LATENCY_SPIKE"]}' as triage_correct
       from telemetry join flagged using (seq) join {{service_logs}} l using (seq)),
@@ -67,20 +67,39 @@ def rag_gate(v: Views):
         avg(coalesce(triage_correct, false)::int) filter (where kind <> 'HEALTHY') * 100 as t,
         avg(detected::int) filter (where kind = 'HEALTHY') * 100 as f from cases)
     select total_faults, total_controls, {rounded("d", 1)} as detection_rate, {rounded("t", 1)} as triage_accuracy,
-      {rounded("f", 1)} as false_positive_rate, d >= 95 and t >= 95 and f <= 10 as passed from rates""",
-)
-def detection_eval(v: Views):
-    scored = anomaly.zscore_score(v.telemetry, anomaly.baseline_stats(v.telemetry))
+      {rounded("f", 1)} as false_positive_rate, d >= 95 and t >= 95 and f <= 10 as passed from rates"""
+
+
+def detection_rates(v: Views, scored, fired):
     fault = classify_fault(F.col("message"))
     right = by_fault(fault, RUNBOOKS) == RUNBOOKS["LATENCY_SPIKE"]
     cases = scored.join(v.service_logs.select("seq", "message"), "seq").select(
         F.when(F.col("latency_ms") > 1500, "LATENCY_SPIKE").otherwise("HEALTHY").alias("kind"),
-        (F.size(anomaly.detectors_fired(F.col("scores"))) > 0).alias("detected"),
+        (F.size(fired) > 0).alias("detected"),
         right.alias("triage_correct"),
     )
     return evaluation.detection_summary(cases)
 
 
+@query("detection_eval", SCORED_SQL + detection_sql("select seq, bool_or(is_anomaly) as detected from scored group by seq"))
+def detection_eval(v: Views):
+    scored = anomaly.zscore_score(v.telemetry, anomaly.baseline_stats(v.telemetry))
+    return detection_rates(v, scored, anomaly.detectors_fired(F.col("scores")))
+
+
+@query(
+    "detection_eval_forest",
+    FOREST_SQL + ", " + SCORED_SQL.removeprefix("with ") + detection_sql(
+        "select seq, bool_or(is_anomaly) as detected from (select seq, is_anomaly from scored union all select seq, is_anomaly from forest) group by seq"
+    ),
+)
+def detection_eval_forest(v: Views):
+    """The same rates with the forest among the detectors."""
+    forest = forest_flagged(v)
+    scored = anomaly.zscore_score(forest, anomaly.baseline_stats(forest))
+    return detection_rates(v, scored, anomaly.detectors_fired(F.col("scores"), F.col("forest_flag")))
+
+
 PATH = ", ".join(f"'{s}'" for s in evaluation.FULL_PATH)
 OUTCOMES_SQL = GATED_SQL + f""",
 pathed as (select *, case when security_flagged then ['security_node'] when action_status = 'pending' then [{PATH}][:4]
