@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from opsloom.functions.numeric import tidy
 from opsloom.plans.durable import durable
@@ -266,6 +267,53 @@ def _first_state(starts: pd.DataFrame):
     return starts["state"].iloc[0] if len(starts) else None
 
 
+@F.pandas_udf(ArrayType(DoubleType()))
+def _frame(state: pd.Series) -> pd.Series:
+    """Means, then deviations of a window's metrics, computed as in scoring; null while it warms up."""
+
+    def of(samples):
+        window = RollingWindow(samples).view()
+        if window.shape[1] < WARMUP_EVENTS:
+            return None
+        std = window.std(axis=1)
+        return [*window.mean(axis=1).tolist(), *np.where(std == 0, 1.0, std).tolist()]
+
+    return state.map(of)
+
+
+def frozen_starts(folds: DataFrame, changed: DataFrame) -> DataFrame:
+    """(service_name, _chunk, state): folds that are expected to start from a frozen window.
+
+    The earliest changed fold of a service starts from a window that is settled. Up to and
+    including the first fold with an event that this window would accept, all later folds start
+    from the same window. They are expectations: the caller compares them with the folds' ends.
+    """
+    # One row per service: its state holds at most a window.
+    first = changed.groupBy("service_name").agg(
+        F.min("_chunk").alias("_first"), F.min_by("state", "_chunk").alias("state")
+    )
+    first = small_side(durable(first.withColumn("_frame", _frame("state"))).where("_frame is not null"))
+    scores = [
+        (F.col(m) - F.col("_frame")[i]) / F.col("_frame")[i + len(METRICS)] for i, m in enumerate(METRICS)
+    ]
+    finite = F.lit(True)
+    for m in METRICS:
+        finite = finite & F.col(m).isNotNull() & ~F.isnan(m) & (F.abs(m) < float("inf"))
+    # The metric with the largest rounded score decides, as in scoring.
+    sized = F.array(*[F.struct(F.abs(F.rint(z * 100) / 100), F.lit(-i), F.abs(z).alias("z")) for i, z in enumerate(scores)])
+    accepted = finite & (F.array_max(sized)["z"] <= Z_THRESHOLD)
+    later = match(folds, first, ["service_name"]).where("_chunk >= _first")
+    thaw = later.groupBy("service_name").agg(
+        F.min(F.when(accepted, F.col("_chunk"))).alias("_thaw")
+    )
+    places = match(folds.select("service_name", "_chunk").distinct(), first, ["service_name"])
+    return (
+        match(places, small_side(thaw), ["service_name"])
+        .where("_chunk > _first and (_thaw is null or _chunk <= _thaw)")
+        .select("service_name", "_chunk", "state")
+    )
+
+
 def rolling_ingest(
     events: DataFrame,
     seq: str = "seq",
@@ -283,8 +331,10 @@ def rolling_ingest(
     the window its predecessor ended with in the previous round, and rounds repeat for the
     folds whose start changed until none does. The window forgets everything older than
     ``WINDOW_EVENTS`` accepted events, so a fold's end hardly depends on its start and two
-    rounds are the rule; agreement of every start with its predecessor's end is what makes
-    the result exact.
+    rounds are the rule. After a change of level a window is frozen, as long as every event is
+    anomalous under it; the folds it stays frozen in are found by one aggregation and all run
+    from that window in the same round (``frozen_starts``). Agreement of every start with its
+    predecessor's end is what makes the result exact.
     """
     ship_package(events.sparkSession)
     base = events.select(
@@ -338,9 +388,12 @@ def rolling_ingest(
         )
         if changed.isEmpty():
             break
-        again = run(match(folds, changed.select(*keys), keys, "left_semi"), changed)
-        kept = match(ends, changed.select(*keys), keys, "left_anti")
-        used = starts
+        frozen = durable(frozen_starts(folds, changed))
+        rest = match(changed, frozen.select(*keys), keys, "left_anti")
+        todo = rest.unionByName(frozen)
+        again = run(match(folds, todo.select(*keys), keys, "left_semi"), todo)
+        kept = match(ends, todo.select(*keys), keys, "left_anti")
+        used = match(starts, frozen.select(*keys), keys, "left_anti").unionByName(frozen)
         ends = durable(kept.unionByName(again))
     result = folds.groupBy(*keys).cogroup(starts.groupBy(*keys)).applyInPandas(scored, schema)
     return shown(result)

@@ -103,6 +103,27 @@ def test_folds_of_a_hot_service_equal_one_pass(spark):
     assert sum(bool(r["is_anomaly"]) for r in whole) > 50
 
 
+def test_a_change_of_level_takes_the_same_rounds_for_any_length(spark, monkeypatch):
+    """After the shift every event is anomalous: 8 and 24 frozen folds need equally many rounds."""
+    def shifted(folds):
+        # 900 ordinary events, then a level that the window never accepts, then the old one again.
+        n = 900 + 300 * folds + 400
+        level = F.when((F.col("seq") >= 900) & (F.col("seq") < n - 400), 4000.0).otherwise(0.0)
+        return noisy(spark, n).withColumn("latency_ms", F.col("latency_ms") + level)
+
+    taken = []
+    real = anomaly.frozen_starts
+    monkeypatch.setattr(anomaly, "frozen_starts", lambda *a: taken.append(1) or real(*a))
+    rounds = []
+    for folds in (8, 24):
+        df = shifted(folds)
+        taken.clear()
+        split = rows(anomaly.rolling_ingest(df, split=True, fold_rows=300), "seq")
+        rounds.append(len(taken))
+        assert split == rows(anomaly.rolling_ingest(df, split=False), "seq")
+    assert rounds[0] <= 8 and rounds[1] <= 8
+
+
 def test_blocks_of_a_hot_service_equal_one_window(spark):
     df = noisy(spark, 4000)
     whole = rows(anomaly.rolling_zscore(df, split=False), "seq")
@@ -132,7 +153,27 @@ def test_forest_sample_of_large_input_is_bounded(spark):
     sample = iforest.training_sample(noisy(spark, 20_000), "seq", trees=4, psi=64, seed=42)
     counts = rows(sample.groupBy("tree").count(), "tree")
     assert [r["count"] for r in counts] == [64] * 4
-    assert sample.select("_id").distinct().count() == 256
+    assert sample.select("tree", "_id").distinct().count() == 256
+
+
+def test_forest_samples_differ_by_tree_at_every_size(spark):
+    """One rule for small and large input: every tree draws on its own, small input goes whole."""
+    few = iforest.training_sample(noisy(spark, 50), "seq", trees=3, psi=64, seed=42)
+    assert [r["count"] for r in rows(few.groupBy("tree").count(), "tree")] == [50] * 3
+    for n in (200, 20_000):
+        many = iforest.training_sample(noisy(spark, n), "seq", trees=2, psi=64, seed=42)
+        drawn = many.groupBy("tree").agg(F.sort_array(F.collect_list("_id")).alias("ids"))
+        assert drawn.select("ids").distinct().count() == 2
+
+
+def test_forest_leaves_unusable_rows_unscored(spark):
+    odd = spark.createDataFrame([("x", 10_000, float("nan"), 9.0, 5.0), ("x", 10_001, None, 9.0, 5.0)], SCHEMA)
+    train = noisy(spark, 500).unionByName(odd)
+    nodes = iforest.fit_nodes(train, trees=10)
+    assert rows(nodes, "tree", "node") == rows(iforest.fit_nodes(noisy(spark, 500), trees=10), "tree", "node")
+    verdicts = iforest.forest_verdicts(iforest.score_samples(train, nodes, trees=10), -0.5)
+    bad = verdicts.where("seq >= 10000").collect()
+    assert [(r["is_anomaly"], r["severity"], r["anomaly_score"]) for r in bad] == [(False, "NORMAL", None)] * 2
 
 
 def test_unfitted_forest_falls_back_to_latency(spark):
