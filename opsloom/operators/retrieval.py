@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from opsloom.functions.barrier import evaluated_once
 from opsloom.functions.text import tokens
-from opsloom.plans.durable import durable
+from opsloom.plans.durable import durable, written
 from opsloom.plans.ranking import SLICE_ROWS, ordered_rank
 from opsloom.plans.sizing import fits_one_task, small_side
 
@@ -55,10 +55,13 @@ class CorpusIndex:
 def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> CorpusIndex:
     """The lengths ride along with the exploded terms, so no join brings them back.
 
+    The words of every document are written once: postings, term counts and mean length are
+    read from them, so that a search runs the tokeniser over the corpus a single time.
+
     ``explode_outer`` and a filter on its result, here and below: for a plain ``explode``
     Spark infers a filter on the array and evaluates the tokeniser again, below any shuffle.
     """
-    words = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("_tokens"))
+    words = written(docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("_tokens")), "words")
     sized = words.select(
         "doc_id",
         F.size("_tokens").alias("doc_len"),
