@@ -103,13 +103,8 @@ def close_pairs(prints: DataFrame) -> DataFrame:
     return paired.unionByName(stars)
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint, component_id, key: one row per row of ``docs``.
-
-    Null and blank texts have fingerprint zero and are linked like any other. component_id is
-    the smallest doc_id that links lead to; null ids count only where a component has no
-    other. Repeated rows get equal results; an empty table gives none. Other columns are ignored.
-    """
+def rooted_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, key, print, root, component_id: one row per row of ``docs``; a root is one component."""
     slim = written(
         docs.select("doc_id", row_key().alias("key"), text_simhash("text").alias("print")), "simhashes"
     )
@@ -119,8 +114,18 @@ def near_groups(docs: DataFrame) -> DataFrame:
         "print", "least_id", F.coalesce("root", "print").alias("root")
     )
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = written(rooted.join(least, "root").select("print", "component_id"), "components")
-    return slim.join(named, "print").select(
+    named = written(rooted.join(least, "root").select("print", "root", "component_id"), "components")
+    return slim.join(named, "print")
+
+
+def near_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint, component_id, key: one row per row of ``docs``.
+
+    Null and blank texts have fingerprint zero and are linked like any other. component_id is
+    the smallest doc_id that links lead to; null ids count only where a component has no
+    other. Repeated rows get equal results; an empty table gives none. Other columns are ignored.
+    """
+    return rooted_rows(docs).select(
         "doc_id",
         F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"),
         "component_id",
@@ -129,9 +134,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """One document of each near-duplicate group: the row with the smallest doc_id, whole."""
-    groups = near_groups(docs)
-    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    # Rows that repeat the smallest doc_id with other texts of the group: one of them.
-    keys = groups.where(first).groupBy("component_id").agg(F.min("key").alias("key")).select("key")
+    """One document of each near-duplicate group: the row with the smallest doc_id, whole.
+
+    A group is a component, not its component_id: ids can be null or stand in several components.
+    """
+    least = F.min_by("key", F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
+    keys = rooted_rows(docs).groupBy("root").agg(least.alias("key")).select("key")
     return only_keys(docs, keys)

@@ -158,6 +158,16 @@ def test_simhash_keeps_one_document_of_each_group(documents):
     assert simhash.kept_documents(documents(HARD)).count() == len({r.component_id for r in groups})
 
 
+def test_simhash_keeps_components_whose_ids_are_null_or_repeated(documents):
+    draw = random.Random(2)
+    texts = [" ".join(f"{draw.getrandbits(40):x}" for _ in range(50)) for _ in range(7)]
+    ids = [None, None, None, 5, 5, 5, 6]
+    rows = [*zip(ids, texts, strict=True), (9, texts[0]), (7, texts[6])]
+    kept = simhash.kept_documents(documents(rows)).collect()
+    want = [(9, texts[0]), *zip(ids[1:], texts[1:], strict=True)]
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted(want, key=str)
+
+
 def duck(sql, rows):
     con = duckdb.connect()
     con.execute("create table documents (doc_id bigint, text varchar, source varchar)")
