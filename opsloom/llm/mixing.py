@@ -17,8 +17,11 @@ from opsloom.plans.sizing import small_side
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_PASSES = 2
-# Blocks in the whole mix: the finer, the closer a source comes to its target.
+# Blocks in the whole mix at least, and in the smallest target above zero: the finer, the closer
+# a source comes to its target. Blocks of two words are fine enough unless a target is smaller.
 BLOCKS = 65536
+LEAST_BLOCKS = 64
+FINE_WORDS = 2
 SEED = "mix-1"
 # Hexadecimal digits of the drawn order that make a bucket; only one bucket a source is ordered.
 BUCKET_DIGITS = 3
@@ -73,7 +76,10 @@ def quotas(goals: DataFrame) -> DataFrame:
     around target / block, by as many as rounding all sources could shift.
     """
     every = Window.partitionBy()
-    block = F.greatest(F.lit(1), F.ceil(F.col("all_words") * F.lit(SHARE) / BLOCKS))
+    least = F.min(F.when(F.col("target") > 0, F.col("target"))).over(every)
+    whole = F.ceil(F.col("all_words") * F.lit(SHARE) / BLOCKS)
+    fine = F.greatest(F.floor(least / LEAST_BLOCKS), F.least(F.lit(FINE_WORDS), F.floor(least)))
+    block = F.greatest(F.lit(1), F.least(whole, fine))
     known = goals.withColumn("block", block).withColumn("mix", F.sum("target").over(every))
     near = known.withColumn("seats", F.floor(F.col("target") / F.col("block"))).withColumn(
         "reach",
@@ -84,7 +90,7 @@ def quotas(goals: DataFrame) -> DataFrame:
         "open", F.floor(F.col("mix") / F.col("block") + 0.5) - F.sum("sure").over(every)
     )
     seats = near.withColumn(
-        "k", F.explode(F.expr("sequence(cast(sure + 1 as int), cast(seats + reach as int))"))
+        "k", F.explode(F.expr("sequence(cast(sure + 1 as bigint), cast(seats + reach as bigint))"))
     ).withColumn("quotient", F.col("target") / (F.col("k") - 0.5))
     won = (
         seats.withColumn(

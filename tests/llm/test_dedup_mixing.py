@@ -214,6 +214,17 @@ def test_highest_quotients(spark):
     assert got == {s: min(seats[s] * block, 2 * n) for s, n in sizes.items()}
 
 
+def test_small_sources_of_a_large_mix_meet_their_targets(spark):
+    """Two sources hold nearly all words; the block follows the long tail, not the mix."""
+    sizes = {"a": 3_000_000_000, "b": 1_900_000_000} | {f"t{i:03}": 1_000 + 211 * i for i in range(200)}
+    frame = spark.createDataFrame(sizes.items(), "source string, source_size long")
+    goals = {r.source: r for r in mixing.quotas(mixing.targets(frame)).collect()}
+    assert set(goals) == set(sizes)
+    for r in goals.values():
+        assert abs(r.quota - r.target) <= max(2, r.target / 50)
+    assert abs(sum(r.quota for r in goals.values()) - 1.5 * sum(sizes.values())) <= 1_000_000
+
+
 def test_mixing_of_nothing(documents):
     assert mixing.mixed(documents([])).count() == 0
     assert mixing.mixed_documents(documents([])).columns == documents([]).columns
