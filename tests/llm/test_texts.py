@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import pytest
@@ -163,6 +164,21 @@ def test_resharding_law(run, documents, tmp_path):
     assert len(hard) == len(HARD) and sorted((r.shard, r.slot) for r in hard) == sorted({(r.shard, r.slot) for r in hard})
 
 
+def test_rewrite_shrinks_a_folder_with_null_and_repeated_ids(documents, tmp_path):
+    path = str(tmp_path / "shards")
+    rows = [(None if i % 9 == 0 else i // 3, f"t{i % 5}" * (i % 7), str(i % 24)) for i in range(240)]
+    docs = documents(rows)
+    shard = F.col("source").cast("int")
+    docs.withColumns({"shard": shard, "slot": F.lit(0).cast("long")}).write.partitionBy("shard").parquet(path)
+    plan = resharding.resharded(docs, shard, shards=12)
+    resharding.rewrite(docs, plan, path, shard)
+    got = docs.sparkSession.read.parquet(path)
+    assert Counter(map(tuple, got.select("doc_id", "text", "source").collect())) == Counter(rows)
+    want = Counter((r.shard, r.doc_id, r.text_crc32) for r in plan.collect())
+    assert Counter((r.shard, r.doc_id, zlib.crc32(r.text.encode())) for r in got.collect()) == want
+    assert {p.name for p in (tmp_path / "shards").glob("shard=*")} == {f"shard={i}" for i in range(12)}
+
+
 def test_prefix_hashes():
     draw = random.Random(8)
     for _ in range(60):
