@@ -64,3 +64,53 @@ select c.doc_id, c.size, p.source_size, p.target,
     (p.passes * c.size + greatest(0, least(c.size, p.rest - c.ahead)))::bigint as taken
 from c join p on c.source is not distinct from p.source
 """
+
+DIVERGENCE = r"""
+with t as (
+    select coalesce(lang, '') as lang, coalesce(source, '') as source, row_number() over () as doc,
+        regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as terms
+    from documents
+), w as (
+    select lang, source, doc, unnest(terms) as term from t
+), k as (
+    select lang, term from w group by lang, term having count(distinct doc) >= 30
+), v as (
+    select lang, count(*) as size from k group by lang
+), g as (
+    select distinct lang, source from t
+), c as (
+    select w.lang, w.source, w.term, count(*) as n from w join k using (lang, term) group by all
+), full_counts as (
+    select g.lang, g.source, k.term, coalesce(c.n, 0) as n
+    from g join k on g.lang = k.lang
+    left join c on c.lang = g.lang and c.source = g.source and c.term = k.term
+), of_groups as (
+    select lang, source, term, n, 1 + (1000000000::hugeint * (n + 5))
+        // (sum(n) over (partition by lang, source) + 5 * size) as p
+    from full_counts join v using (lang)
+), of_langs as (
+    select lang, term, 1 + (1000000000::hugeint * (sum(n) + 5))
+        // (sum(sum(n)) over (partition by lang) + 5 * any_value(size)) as q
+    from full_counts join v using (lang) group by lang, term
+), pairs as (
+    select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value
+    from of_groups a join of_groups b on a.lang = b.lang and a.term = b.term and a.source <> b.source
+    group by all
+    union all
+    select a.lang, a.source, b.source, 0
+    from g a join g b on a.lang = b.lang and a.source <> b.source
+    where a.lang not in (select lang from v)
+), over_terms as (
+    select lang, source, term as item, p - q as value
+    from of_groups join of_langs using (lang, term) where n > 0 and p > q
+), parts as (
+    select *, 'pair' as part from pairs union all select lang, source, item, value, 'term' from over_terms
+), r as (
+    select lang, source, part, item, value::bigint as value,
+        row_number() over (partition by lang, source, part order by value desc, item)::int as rank
+    from parts
+)
+select * from r where part = 'pair' or rank <= 50
+"""

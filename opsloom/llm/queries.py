@@ -7,7 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsloom.llm import checks, exact_dedup, mixing, pieces, prefix_prints, quality, resharding, secret_scan, simhash, suffix_dedup, toxicity
+from opsloom.llm import (
+    checks,
+    divergence,
+    exact_dedup,
+    mixing,
+    pieces,
+    prefix_prints,
+    quality,
+    resampling,
+    resharding,
+    secret_scan,
+    simhash,
+    suffix_dedup,
+    toxicity,
+    url_filter,
+)
 from opsloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +99,19 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_exact_dedup", checks.EXACT_DEDUP)
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_groups(read(spark, sf_dir, "documents")).drop("key")
+
+
+@query("op11_source_divergence", checks.DIVERGENCE)
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audited(read(spark, sf_dir, "documents"))
+
+
+@query("op12_url_filters")
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table labels URLs: the trees learn from the URLs that a rule decides."""
+    return url_filter.judged(read(spark, sf_dir, "pages"))
+
+
+@query("op13_importance_resampling")
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
