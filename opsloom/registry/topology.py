@@ -36,7 +36,7 @@ def blast_radius(v: Views):
     closure_sql("{entity_edges}") + " select dst as node, count(*) as dependents from pairs group by dst",
 )
 def closure_all(v: Views):
-    return topology.fan_in(topology.closure(v.entity_edges))
+    return topology.dependent_counts(v.entity_edges)
 
 
 @query(

@@ -167,7 +167,7 @@ VIEWS = {
     "entity_edges": """
         select c_custkey as src, cast(floor(c_custkey / 2E0) as bigint) as dst,
           'reports_to' as relation
-        from {customer} where c_custkey > 0""",
+        from {customer}""",
     "tickets": f"""
         select event_id as ticket_id, concat('svc-', cast(user_id % 12 as string)) as service_name,
           {_case("event_id % 10", [t for t, _ in TICKET_TEMPLATES])} as description,
