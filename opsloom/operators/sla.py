@@ -13,6 +13,8 @@ from opsloom.plans.quantiles import exact_quantiles
 from opsloom.plans.sizing import fits_one_task, small_side
 
 PROBS = (0.50, 0.95, 0.99)
+# Size of a stored latency sketch, and the rank error it stays within (99 % of the time).
+SKETCH_K, SKETCH_RANK_ERROR = 4096, 0.001
 LATENCY_COLUMNS = ("latency_p50_ms", "latency_p95_ms", "latency_p99_ms")
 SLA_COLUMNS = (
     "service_name total_requests total_errors_5xx availability_sla latency_p50_ms "
@@ -76,8 +78,48 @@ def service_sla_approx(
     return _ordered(flat, keys)
 
 
+def sla_sketches(events: DataFrame, keys: Sequence[str] = ("service_name",), time_col: str = "ts") -> DataFrame:
+    """One row per key and day that any span can be put together from: counts, sums and a latency sketch.
+
+    The sketch is of the mergeable kind with a fixed size, so a stored day never needs its
+    events again. Rows without a service are left out, as in the other forms.
+    """
+    return (
+        events.where(F.col("service_name").isNotNull())
+        .groupBy(*keys, F.to_date(time_col).alias("day"))
+        .agg(
+            F.count(F.lit(1)).alias("requests"),
+            F.count_if(F.col("status_code") >= 500).alias("errors"),
+            F.sum("cpu_percent").alias("cpu_sum"),
+            F.count("cpu_percent").alias("cpu_count"),
+            F.sum("memory_percent").alias("memory_sum"),
+            F.count("memory_percent").alias("memory_count"),
+            F.kll_sketch_agg_double("latency_ms", F.lit(SKETCH_K)).alias("latency_sketch"),
+        )
+    )
+
+
+def rolled_up(sketches: DataFrame, keys: Sequence[str] = ("service_name",)) -> DataFrame:
+    """SLA rows per key over all days of ``sketches``, from the stored rows alone."""
+    total, errors = F.sum("requests"), F.sum("errors")
+    grouped = sketches.groupBy(*keys).agg(
+        total.alias("total_requests"),
+        errors.alias("total_errors_5xx"),
+        tidy((total - errors) / total * 100.0, 4).alias("availability_sla"),
+        tidy(F.sum("cpu_sum") / F.sum("cpu_count"), 2).alias("avg_cpu_percent"),
+        tidy(F.sum("memory_sum") / F.sum("memory_count"), 2).alias("avg_memory_percent"),
+        F.kll_merge_agg_double("latency_sketch").alias("_sketch"),
+    )
+    known = F.kll_sketch_get_n_double("_sketch") > 0
+    quantiles = [
+        tidy(F.when(known, F.kll_sketch_get_quantile_double("_sketch", F.lit(p))), 2).alias(c)
+        for p, c in zip(PROBS, LATENCY_COLUMNS, strict=True)
+    ]
+    return _ordered(grouped.select("*", *quantiles), keys)
+
+
 def approx_within_bound(
-    events: DataFrame, approx: DataFrame, accuracy: int = 10_000
+    events: DataFrame, approx: DataFrame, accuracy: float = 10_000
 ) -> DataFrame:
     """service_name and, per quantile, whether its rank is as near as ``accuracy`` promises.
 

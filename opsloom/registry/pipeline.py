@@ -9,6 +9,8 @@ from opsloom.plans.daily import run_daily
 from opsloom.plans.durable import scratch_path
 from opsloom.registry import Views, query, rounded
 from opsloom.sources import logs, sinks, telemetry
+from opsloom.sources.keyed import KeyedTable
+from opsloom.sources.topiclog import TopicLog
 
 EVENT_COLUMNS = (
     "event_id service_name cpu_percent memory_percent latency_ms status_code".split()
@@ -207,22 +209,40 @@ def _commits(marks):
     return first.unionByName(second)
 
 
-@query(
-    "topic_offset_range",
-    f"""with {TOPIC_SQL},
+OFFSET_RANGE_SQL = f"""with {TOPIC_SQL},
     pos as (select "partition", cast(floor(high_watermark / 2) as bigint) as cur from marks
       where "partition" <> 1)
     select o.seq, o."partition", o."offset",
       greatest(coalesce(cur, 0), least(high_watermark, coalesce(cur, 0) + 100)) as next_position
     from offsets o join marks m using ("partition") left join pos using ("partition")
-    where o."offset" >= coalesce(cur, 0) and o."offset" < coalesce(cur, 0) + 100""",
-)
+    where o."offset" >= coalesce(cur, 0) and o."offset" < coalesce(cur, 0) + 100"""
+
+
+def _positions(marks):
+    return marks.where("partition <> 1").select(
+        "partition", F.floor(F.col("high_watermark") / 2).alias("current")
+    )
+
+
+@query("topic_poll", OFFSET_RANGE_SQL)
+def topic_poll(v: Views):
+    """The same poll from a stored log that was appended to in three batches."""
+    log = TopicLog(v.spark, scratch_path(v.spark, "topic"))
+    rows = v.telemetry.select("seq", "service_name")
+    third = rows.agg(F.max("seq").alias("last")).first()["last"] // 3 + 1
+    for batch in range(3):
+        log.append(rows.where(F.floor(F.col("seq") / third) == batch), batch)
+    marks = log.high_watermarks()
+    following = topic.next_positions(marks, _positions(marks))
+    polled = log.poll(_positions(marks))
+    return polled.join(following, "partition").select("seq", "partition", "offset", "next_position")
+
+
+@query("topic_offset_range", OFFSET_RANGE_SQL)
 def topic_offset_range(v: Views):
     rows = topic.with_offsets(topic.with_partition(v.telemetry.select("seq", "service_name")))
     marks = topic.high_watermarks(rows)
-    positions = marks.where("partition <> 1").select(
-        "partition", F.floor(F.col("high_watermark") / 2).alias("current")
-    )
+    positions = _positions(marks)
     batch = topic.read_range(rows, positions)
     following = topic.next_positions(marks, positions)
     return batch.join(following, "partition").select("seq", "partition", "offset", "next_position")
@@ -271,14 +291,23 @@ def service_sla_approx(v: Views):
     return sla.service_sla_approx(v.telemetry)
 
 
-@query(
-    "service_sla_approx_bound",
-    """select service_name, count(*) as total_requests,
+BOUND_SQL = """select service_name, count(*) as total_requests,
       count(*) filter (where status_code >= 500) as total_errors_5xx,
       count(latency_ms) > 0 as latency_p50_ms_close, count(latency_ms) > 0 as latency_p95_ms_close,
       count(latency_ms) > 0 as latency_p99_ms_close
-    from {telemetry} where service_name is not null group by service_name""",
-)
+    from {telemetry} where service_name is not null group by service_name"""
+
+
+@query("service_sla_rollup_bound", BOUND_SQL)
+def service_sla_rollup_bound(v: Views):
+    """Stored daily sketches rolled up over all days, held to their promised ranks."""
+    days = sinks.write_parquet(sla.sla_sketches(v.telemetry), scratch_path(v.spark, "sketches"))
+    rolled = sla.rolled_up(days)
+    close = sla.approx_within_bound(v.telemetry, rolled, 1 / sla.SKETCH_RANK_ERROR)
+    return rolled.select("service_name", "total_requests", "total_errors_5xx").join(close, "service_name")
+
+
+@query("service_sla_approx_bound", BOUND_SQL)
 def service_sla_approx_bound(v: Views):
     """The sketch's counts, and whether its quantiles keep to their promised ranks."""
     approx = sla.service_sla_approx(v.telemetry)
@@ -302,16 +331,28 @@ def sla_parquet_sink(v: Views):
     return sinks.write_parquet(sla.service_sla(v.telemetry), scratch_path(v.spark, "sla"))
 
 
-@query(
-    "incident_upsert",
-    """select ticket_id, service_name, severity, started_at, resolved_at from {incident_feed}
+UPSERT_SQL = """select ticket_id, service_name, severity, started_at, resolved_at from {incident_feed}
     where resolved_at is not null
-    qualify row_number() over (partition by ticket_id order by seq desc) = 1""",
-)
+    qualify row_number() over (partition by ticket_id order by seq desc) = 1"""
+
+
+@query("incident_upsert", UPSERT_SQL)
 def incident_upsert(v: Views):
     return incidents.upsert_incidents(v.incident_feed)
 
 
+@query("incident_merge", UPSERT_SQL)
+def incident_merge(v: Views):
+    """The same table kept by merges of three batches, the newest arrivals first, one of them twice."""
+    feed = v.incident_feed.where("resolved_at is not null")
+    feed = feed.select("ticket_id", *incidents.INCIDENT_COLUMNS, "seq")
+    schema = ", ".join(f"{name} {kind}" for name, kind in feed.dtypes)
+    table = KeyedTable(v.spark, scratch_path(v.spark, "incidents"), schema, "ticket_id", "seq")
+    for batch in (2, 0, 1, 0):
+        table.merge(feed.where(F.col("seq") % 3 == batch), f"batch-{batch}")
+    return table.read().drop("seq")
+
+
 @query(
     "incident_rejects",
     """select seq, ticket_id, 'resolved_at' as missing from {incident_feed} where resolved_at is null""",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def write_parquet(df: DataFrame, path: str) -> DataFrame:
@@ -24,5 +25,12 @@ def publish_table(df: DataFrame, path: str, name: str) -> DataFrame:
     return df.sparkSession.table(name)
 
 
-def append_status(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+def append_status(df: DataFrame, path: str, run: str) -> None:
+    """Adds the rows of a run; a run that is repeated replaces its own rows and no others."""
+    (
+        df.withColumn("run", F.lit(run))
+        .write.option("partitionOverwriteMode", "dynamic")
+        .mode("overwrite")
+        .partitionBy("run")
+        .parquet(path)
+    )
