@@ -52,6 +52,12 @@ def _rounded(hits):
     return hits.withColumn("score", F.round("score", 6))
 
 
+def _stored(v: Views):
+    path = scratch_path(v.spark, "index")
+    retrieval.write_index(retrieval.build_index(v.documents), path)
+    return retrieval.read_index(v.spark, path)
+
+
 @query("tokenize", f"select doc_id, array_to_string({tokens_sql('text')}, ' ') as tokens from documents")
 def tokenize(v: Views):
     from opsloom.functions.text import tokens
@@ -61,21 +67,25 @@ def tokenize(v: Views):
 
 @query("corpus_index", f"with {index_sql()} select term, doc_freq, total_tf from term")
 def corpus_index(v: Views):
-    path = scratch_path(v.spark, "index")
-    retrieval.write_index(retrieval.build_index(v.documents), path)
-    return retrieval.read_index(v.spark, path).terms
+    return _stored(v).terms.select("term", "doc_freq", "total_tf")
 
 
-@query(
-    "bm25_search",
-    f"""with {index_sql()} select query_id, doc_id, round(bm25, 6) as score, rank from (
+BM25_QUERY = f"""with {index_sql()} select query_id, doc_id, round(bm25, 6) as score, rank from (
       select *, row_number() over (partition by query_id order by bm25 desc, doc_id) as rank from pair)
-    where rank <= 5""",
-)
+    where rank <= 5"""
+
+
+@query("bm25_search", BM25_QUERY)
 def bm25_search(v: Views):
     return _rounded(retrieval.bm25_search(_queries(v), retrieval.build_index(v.documents)))
 
 
+@query("bm25_search_stored", BM25_QUERY)
+def bm25_search_stored(v: Views):
+    """From a written index, leaving out blocks by their greatest score part."""
+    return _rounded(retrieval.bm25_search(_queries(v), _stored(v)))
+
+
 # Some of the queries share no word with any document, so that fillers are needed.
 ODD_QUERIES = """select item_id as query_id, case when item_id % 4 = 0 then 'zzqx' || item_id else text end as query from benchmark"""
 
@@ -106,9 +116,8 @@ def rrf_search(v: Views):
 
 @query("rrf_search_split", RRF_QUERY)
 def rrf_search_split(v: Views):
-    """The form a large corpus takes, forced."""
-    index = retrieval.build_index(v.documents)
-    return _rounded(retrieval.rrf_search(_queries(v), index, split=True))
+    """From a written index."""
+    return _rounded(retrieval.rrf_search(_queries(v), _stored(v)))
 
 
 @query(
@@ -140,6 +149,12 @@ def chunk_documents(v: Views):
     return retrieval.chunk_documents(v.documents).drop("source")
 
 
+@query("chunk_recursive")
+def chunk_recursive(v: Views):
+    """Recursion over separators; a test compares it with a plain version."""
+    return retrieval.recursive_chunks(v.documents).drop("source")
+
+
 @query(
     "kb_answer",
     f"""with {index_sql(ODD_QUERIES)}, {RRF_SQL}

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
 
 FIXED_KEYS = ("ts", "level", "logger", "message", "request_id")
 NO_REQUEST = "-"
@@ -40,15 +41,31 @@ def nonfinite_text(value: Column) -> Column:
 
 
 def sanitize_nonfinite(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Moves inf and NaN of numeric and numeric-array columns into ``<column>_text``."""
-    kinds = dict(df.dtypes)
+    """Moves inf and NaN out of the columns, at any depth of structs, arrays and map values.
+
+    A column keeps its shape with null in place of such a number; ``<column>_text`` has the
+    same shape with the number's text there and null elsewhere.
+    """
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    nothing = F.lit(None).cast("string")
     for name in columns:
-        if kinds[name].startswith("array"):
-            df = df.withColumn(f"{name}_text", F.transform(name, nonfinite_text)).withColumn(
-                name, F.transform(name, lambda x: F.when(nonfinite_text(x).isNull(), x))
-            )
-        else:
-            df = df.withColumn(f"{name}_text", nonfinite_text(F.col(name))).withColumn(
-                name, F.when(nonfinite_text(F.col(name)).isNull(), F.col(name))
-            )
+        text = rebuilt(F.col(name), kinds[name], nonfinite_text, lambda _: nothing)
+        clean = rebuilt(F.col(name), kinds[name], lambda x: F.when(nonfinite_text(x).isNull(), x), lambda x: x)
+        df = df.withColumns({f"{name}_text": text, name: clean})
     return df
+
+
+def rebuilt(
+    value: Column, kind: DataType, number: Callable[[Column], Column], other: Callable[[Column], Column]
+) -> Column:
+    """``value`` with every floating-point leaf passed through ``number`` and other leaves through ``other``."""
+    if isinstance(kind, (FloatType, DoubleType)):
+        return number(value)
+    if isinstance(kind, StructType):
+        fields = [rebuilt(value[f.name], f.dataType, number, other).alias(f.name) for f in kind.fields]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: rebuilt(x, kind.elementType, number, other))
+    if isinstance(kind, MapType):
+        return F.transform_values(value, lambda _, x: rebuilt(x, kind.valueType, number, other))
+    return other(value)

@@ -105,9 +105,13 @@ def test_overlap_fills_with_zero_scores(spark, library, asked):
     assert [h["doc_id"] for h in hits[3:]] == [101, 102, 103]
 
 
-@pytest.mark.parametrize("split", [False, True])
-def test_rrf_golden(spark, library, asked, split):
-    hits = retrieval.rrf_search(asked, retrieval.build_index(library), split=split).where("query_id < 3").collect()
+@pytest.mark.parametrize("stored", [False, True])
+def test_rrf_golden(spark, library, asked, stored, tmp_path):
+    index = retrieval.build_index(library)
+    if stored:
+        retrieval.write_index(index, str(tmp_path))
+        index = retrieval.read_index(spark, str(tmp_path))
+    hits = retrieval.rrf_search(asked, index).where("query_id < 3").collect()
     assert [(h["doc_id"], round(h["score"], 5)) for h in hits] == [(101, 0.03279)]
 
 
