@@ -263,7 +263,9 @@ def incident_severity(v: Views):
       first(message order by seq) as m, string_agg(commit_hash, '|' order by seq) as commits from commit group by service_name),
     req as (select service_name, max(latency_ms) as observed_value from {{telemetry}} group by service_name),
     hit as (select dst as service_name, string_agg(src, '|' order by src) as impacted from pairs group by dst)
-    select 'INC-' || upper(substr(sha256(service_name || '|' || cast(observed_value as varchar)), 1, 8)) as incident_id,
+    select 'req-' || service_name as request_id,
+      sha256(service_name || '|' || cast(observed_value as varchar) || '|req-' || service_name) as report_key,
+      'INC-' || upper(substr(sha256(service_name || '|' || cast(observed_value as varchar) || '|req-' || service_name), 1, 8)) as incident_id,
       service_name, case when observed_value > 1000 or coalesce(error_log_count, 0) >= 3 then 'P1' else 'P2' end as severity,
       coalesce(fault_type, 'UNKNOWN') as fault_type,
       case when h is not null then 'Deployment regression in commit ''' || h || ''' by ' || a || ': ''' || m
@@ -280,8 +282,9 @@ def incident_severity(v: Views):
 )
 def rca_report(v: Views):
     requests = v.telemetry.groupBy("service_name").agg(F.max("latency_ms").alias("observed_value"))
+    requests = requests.withColumn("request_id", F.concat(F.lit("req-"), "service_name"))
     impacted = topology.blast_radius(v.service_edges)
-    rows = rca.reports(requests, v.service_logs, v.service_commits, impacted)
+    rows = rca.reports(requests, v.service_logs, v.service_commits, impacted, request_key="request_id")
     none = F.array().cast("array<string>")
     commits = F.coalesce(F.transform("correlated_commits", lambda c: c["commit_hash"]), none)
     return rows.withColumn("commits", F.array_join(commits, "|")).withColumns(
