@@ -40,7 +40,10 @@ with d as (
         cap::double) as target
     from l
 ), b as (
-    select *, greatest(1, ceil(total * 1.5e0 / 65536))::bigint as block, sum(target) over () as mix from t
+    select *, sum(target) over () as mix,
+        greatest(1, least(ceil(total * 1.5e0 / 65536),
+            greatest(floor(smallest / 64), least(2, floor(smallest)))))::bigint as block
+    from (select *, min(case when target > 0 then target end) over () as smallest from t)
 ), q as (
     select source, source_size, target, block, k,
         row_number() over (order by target / (k - 0.5e0) desc, source nulls last, k)
