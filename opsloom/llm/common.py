@@ -35,11 +35,18 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def digest_key(*columns: Column) -> Column:
+    """128 bits of the columns' values, nulls apart from all values: no two of 10^15 rows share one by chance."""
+    parts = [
+        F.when(c.isNull(), F.lit("-")).otherwise(F.concat(F.length(c).cast("string"), F.lit(":"), c.cast("string")))
+        for c in (c.cast("string") for c in columns)
+    ]
+    return F.unhex(F.md5(F.concat(*parts)))
+
+
 def row_key() -> Column:
     """One key per distinct (doc_id, text): rows that repeat both are interchangeable."""
-    return F.xxhash64(
-        F.col("doc_id"), F.col("doc_id").isNull(), F.col("text"), F.col("text").isNull()
-    )
+    return digest_key(F.col("doc_id"), F.col("text"))
 
 
 def only_keys(docs: DataFrame, keys: DataFrame) -> DataFrame:

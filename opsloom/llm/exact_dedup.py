@@ -2,15 +2,15 @@
 
 A text is cut into chunks of ``CHUNK`` bytes. One matrix product gives every chunk's
 polynomial hash under four (prime, base) pairs; the hashes of neighbouring chunks combine by
-``hash(AB) = hash(A) * base^len(B) + hash(B)``, so chunks of a huge document can be hashed
-anywhere and put together afterwards. Texts with equal fingerprints and lengths are then
-compared with their group's first text, chunk by chunk; a text that differs (a collision)
-goes into a group of its own content.
+``hash(AB) = hash(A) * base^len(B) + hash(B)``, so a huge document is cut into parts that are
+hashed by different tasks and put together afterwards, in order. Texts with equal fingerprints
+and lengths are then compared with their group's first text, in one pass that ends at the
+first difference; a text that differs (a collision) goes into a group of its own content.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -24,8 +24,8 @@ CHUNK = 4096
 # Primes below 2^31 keep chunk sums exact in doubles: 4096 * 255 * 2^31 < 2^53.
 FIELDS = ((2147483647, 1103515245), (2147483629, 69069001), (2147483587, 16807), (2147483579, 48271))
 SPACES = b" \t\n\x0b\x0c\r"
-# Characters per comparison step.
-SLICE = 65536
+# Bytes beyond which a document is cut into parts of that size.
+PART = 1 << 20
 
 
 @lru_cache(maxsize=1)
@@ -66,35 +66,81 @@ def combine(left: tuple[tuple[int, ...], int], right: tuple[tuple[int, ...], int
     return hashes, left[1] + right[1]
 
 
-def fingerprint(data: bytes) -> str:
-    """Hexadecimal fingerprint of a byte string; its length is part of it."""
-    total = ((0,) * len(FIELDS), 0)
-    for start in range(0, len(data), CHUNK * 1024):
-        for chunk in chunk_hashes(data[start : start + CHUNK * 1024]):
+def whole(data: bytes) -> tuple[tuple[int, ...], int]:
+    """(hash, length) of a byte string, from its chunks."""
+    total = NOTHING
+    for start in range(0, len(data), CHUNK * 256):
+        for chunk in chunk_hashes(data[start : start + CHUNK * 256]):
             total = combine(total, chunk)
+    return total
+
+
+NOTHING = ((0,) * len(FIELDS), 0)
+
+
+def written_out(total: tuple[tuple[int, ...], int]) -> str:
     return "".join(f"{h:08x}" for h in total[0]) + f"{total[1]:x}"
 
 
+def read_back(text: str) -> tuple[tuple[int, ...], int]:
+    digits = 8 * len(FIELDS)
+    return tuple(int(text[i : i + 8], 16) for i in range(0, digits, 8)), int(text[digits:], 16)
+
+
+def fingerprint(data: bytes) -> str:
+    """Hexadecimal fingerprint of a byte string; its length is part of it."""
+    return written_out(whole(data))
+
+
+@F.pandas_udf(StringType())
+def part_fingerprint(part: pd.Series) -> pd.Series:
+    return part.map(fingerprint)
+
+
+@F.pandas_udf(StringType())
+def combined_fingerprint(parts: pd.Series) -> pd.Series:
+    """The fingerprint of the whole from those of its parts in order."""
+    return parts.map(lambda found: written_out(reduce(combine, map(read_back, found), NOTHING)))
+
+
 @F.pandas_udf(StringType())
 def text_fingerprint(text: pd.Series) -> pd.Series:
     return text.map(lambda t: fingerprint((t or "").encode().translate(None, SPACES)))
 
 
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id, key, print, points, text_sha256 of each row; huge texts are hashed in parts.
+
+    A part is at most ``PART`` bytes of the compared form, a row of its own, so that the parts
+    of one document are spread over tasks. What a group collects are fingerprints of parts.
+    """
+    rows = docs.select(
+        "doc_id",
+        row_key().alias("key"),
+        "text",
+        F.length(whole_text()).cast("long").alias("points"),
+        F.sha2(stripped(), 256).alias("text_sha256"),
+    )
+    huge = F.octet_length(whole_text()) > PART
+    shown = ["doc_id", "key", "points", "text_sha256"]
+    plain = rows.where(~huge).select(*shown, text_fingerprint("text").alias("print"))
+    # Through a generator, so that the text is cleaned once and not for every part.
+    body = rows.where(huge).select("key", F.explode(F.array(stripped().cast("binary"))).alias("body"))
+    count = F.greatest(F.ceil(F.octet_length("body") / PART), F.lit(1)).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring("body", i * PART + 1, F.lit(PART)))
+    parts = body.dropDuplicates(["key"]).select("key", F.posexplode(cut).alias("no", "part"))
+    hashed = parts.repartition("key", "no").select("key", "no", part_fingerprint("part").alias("print"))
+    joined = hashed.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("no", "print"))).alias("parts"))
+    prints = joined.select("key", combined_fingerprint(F.transform("parts", lambda p: p["print"])).alias("print"))
+    large = rows.where(huge).select(*shown).join(prints.hint("merge"), "key").select(*shown, "print")
+    return plain.unionByName(large)
+
+
 def stripped():
     """The compared form: the text without ASCII white space."""
     return F.translate(whole_text(), " \t\n\x0b\x0c\r", "")
 
 
-def same_in_slices(left: str, right: str):
-    """Compares two columns of equal length slice by slice, stopping at the first difference."""
-    steps = F.sequence(F.lit(0), F.floor(F.length(left) / SLICE).cast("int"))
-    return F.forall(
-        steps,
-        lambda i: F.substring(F.col(left), i * SLICE + 1, F.lit(SLICE))
-        == F.substring(F.col(right), i * SLICE + 1, F.lit(SLICE)),
-    )
-
-
 def dedup_groups(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row per row of ``docs``.
 
@@ -103,16 +149,7 @@ def dedup_groups(docs: DataFrame) -> DataFrame:
     one decision: all say ``kept`` or none. Null texts are empty; all empty or blank texts
     are one group. An empty table gives no rows. Other columns are ignored.
     """
-    slim = written(
-        docs.select(
-            "doc_id",
-            row_key().alias("key"),
-            text_fingerprint("text").alias("print"),
-            F.length(whole_text()).cast("long").alias("points"),
-            F.sha2(stripped(), 256).alias("text_sha256"),
-        ),
-        "dedup-prints",
-    )
+    slim = written(fingerprints(docs), "dedup-prints")
     part = F.coalesce("part", F.lit(""))
     split = slim.join(different(docs, slim), "key", "left").withColumn("part", part)
     rank = F.struct("points", F.col("doc_id").isNotNull(), -F.col("doc_id"))
@@ -133,7 +170,7 @@ def dedup_groups(docs: DataFrame) -> DataFrame:
 def different(docs: DataFrame, slim: DataFrame) -> DataFrame:
     """(key, part) of rows whose text is not that of their fingerprint's first row.
 
-    Every row of a repeated fingerprint is compared with that row's text in slices; ``part``
+    Every row of a repeated fingerprint is compared with that row's text; ``part``
     is the digest of the differing text, so that such texts are grouped among themselves.
     """
     repeated = written(
@@ -156,7 +193,7 @@ def different(docs: DataFrame, slim: DataFrame) -> DataFrame:
     first = bodies.where("key = first").select("print", F.col("body").alias("first_body"))
     return (
         bodies.join(first, "print")
-        .where((F.length("body") != F.length("first_body")) | ~same_in_slices("body", "first_body"))
+        .where("body <> first_body")
         .select("key", F.col("text_sha256").alias("part"))
     )
 

@@ -3,8 +3,8 @@
 Three patterns give candidate spans. A pattern's places come from two linear passes: the text
 split at its matches gives the lengths between them, and a running sum gives their starts.
 Every candidate's value is hashed and counted over distinct repositories and owners of the
-whole corpus: values that many owners have are copied examples, values of a single owner that
-look random are reported as live.
+whole corpus: values that many owners or many repositories have are copied examples, values of
+a single owner in few repositories that look random are reported as live.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opsloom.llm.common import whole_text, written
+from opsloom.llm.common import digest_key, whole_text, written
 
 # kind -> (pattern, group with the value, shortest value). Patterns of maximal runs carry their
 # least length; assignments are matched first and dropped afterwards if too short.
@@ -28,8 +28,9 @@ KINDS = {
 # Kinds that ownership adds, listed after the base kinds.
 ADDED = ("live", "example")
 ORDER = (*KINDS, *ADDED)
-# Owners from which on a value is an example that people copy.
+# Owners or repositories from which on a value is an example that people copy.
 WIDE_OWNERS = 3
+WIDE_REPOSITORIES = 4
 PLACEHOLDER = r"(?i)example|sample|changeme|placeholder|dummy|your[_-]|xxxx|0000000|1234567"
 # Different characters that a random-looking value has at least.
 VARIETY = 8
@@ -56,8 +57,7 @@ def candidates(docs: DataFrame, owner: Column, repository: Column) -> tuple[Data
     body = docs.select(
         "doc_id", owner.alias("owner"), repository.alias("repository"), whole_text().alias("body")
     )
-    nulls = F.concat(*[F.col(c).isNull().cast("string") for c in ("doc_id", "owner", "repository")])
-    key = F.xxhash64("doc_id", "owner", "repository", nulls, "body")
+    key = digest_key(F.col("doc_id"), F.col("owner"), F.to_json(F.struct("repository")), F.col("body"))
     rows = written(
         body.select(
             key.alias("key"), "doc_id", "owner", "repository", *map(found_in, KINDS)
@@ -100,18 +100,14 @@ def looks_random(value: Column) -> Column:
 
 
 def ownership(spans: DataFrame) -> DataFrame:
-    """digest, owners, repositories, uses: over the whole corpus, counted in two steps.
+    """digest, owners, repositories: over the whole corpus, counted in two steps.
 
     The first step leaves one row per (digest, owner, repository), however often a value was copied.
     """
-    held = spans.groupBy("digest", "owner", "repository").agg(F.count(F.lit(1)).alias("uses"))
-    owners = held.groupBy("digest", "owner").agg(
-        F.count(F.lit(1)).alias("repositories"), F.sum("uses").alias("uses")
-    )
+    held = spans.select("digest", "owner", "repository").distinct()
+    owners = held.groupBy("digest", "owner").agg(F.count(F.lit(1)).alias("repositories"))
     return owners.groupBy("digest").agg(
-        F.count(F.lit(1)).alias("owners"),
-        F.sum("repositories").alias("repositories"),
-        F.sum("uses").alias("uses"),
+        F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories")
     )
 
 
@@ -129,7 +125,7 @@ def scanned(docs: DataFrame, owner: Column | None = None, repository: Column | N
     repository = F.struct("source", "lang") if repository is None else repository
     rows, spans = candidates(docs, owner, repository)
     owned = written(ownership(spans), "ownership")
-    wide = F.col("owners") >= WIDE_OWNERS
+    wide = (F.col("owners") >= WIDE_OWNERS) | (F.col("repositories") >= WIDE_REPOSITORIES)
     live = (F.col("owners") == 1) & F.col("random")
     added = (
         spans.join(owned, "digest")

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import xxhash
+from pyspark.sql import functions as F
 
 from opsloom.llm import checks, exact_dedup, mixing, queries, simhash
 from opsloom.llm.components import star_forest
@@ -38,6 +39,27 @@ def test_exact_dedup_matches_brute_force(documents):
     assert sorted(map(tuple, got), key=str) == expected_groups(HARD)
 
 
+def test_huge_texts_are_hashed_in_parts(documents, monkeypatch):
+    """Parts of any size give the same fingerprints, groups and rows."""
+    draw = random.Random(3)
+    body = "".join(draw.choice("abcdé \n😀") for _ in range(9000))
+    rows = [*HARD, (500, body), (500, body), (501, " " + body), (502, body[:-1] + "z"), (503, body[: len(body) // 2] * 2), (504, " " * 5000)]
+    want = {r.key: r.print for r in exact_dedup.fingerprints(documents(rows)).collect()}
+    monkeypatch.setattr(exact_dedup, "PART", 1000)
+    got = exact_dedup.fingerprints(documents(rows)).collect()
+    assert len(got) == len(rows) and {r.key: r.print for r in got} == want
+    groups = exact_dedup.dedup_groups(documents(rows)).drop("key").collect()
+    assert sorted(map(tuple, groups), key=str) == expected_groups(rows)
+
+
+def test_long_equal_texts_are_compared_in_linear_time(documents):
+    end = F.when(F.col("doc_id") == 2, " ").when(F.col("doc_id") == 3, "x").otherwise("")
+    docs = documents([(1, ""), (2, ""), (3, "")])
+    docs = docs.withColumn("text", F.concat(F.repeat(F.lit("0123456 89"), 1_600_000), end))
+    got = exact_dedup.dedup_groups(docs).collect()
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in got} == {1: (2, 2), 2: (2, 2), 3: (3, 1)}
+
+
 def test_exact_dedup_of_nothing(documents):
     assert exact_dedup.dedup_groups(documents([])).count() == 0
 
@@ -189,6 +211,15 @@ def test_mixing_matches_sql(documents):
     assert sorted(map(tuple, got), key=str) == sorted(duck(checks.MIXING, rows), key=str)
 
 
+def test_mixing_with_a_long_tail_matches_sql(documents):
+    """Sources far below 64 of the mix's blocks, where the block follows the smallest target."""
+    draw = random.Random(9)
+    rows = [(i, "w " * 4000, draw.choice("ab")) for i in range(120)]
+    rows += [(1000 + i, "w " * draw.randrange(1, 40), f"t{i % 37:02}") for i in range(150)]
+    got = mixing.mixed(documents(rows)).select("doc_id", "size", "source_size", "target", "taken").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(duck(checks.MIXING, rows), key=str)
+
+
 def test_mixing_meets_its_targets(documents):
     got = mixing.mixed(documents(mix_rows())).collect()
     assert all(0 <= r.taken <= 2 * r["size"] for r in got)
