@@ -3,7 +3,7 @@
 For a text's code points c the array P[i] = sum of c[j] * base^j (j < i), modulo a prime,
 answers whether any two spans are equal (compare the differences of P, shifted to a common
 power) and finds the longest common extension of two positions by binary search. The hashes
-of all spans of ``SPAN`` code points, taken from the same arrays, are reduced to one minimum
+of all spans of up to 12 code points (``SPANS``), taken from the same arrays, are reduced to one minimum
 in each of ``BINS`` bins: the share of equal bins tells how much two texts have in common.
 """
 
@@ -21,7 +21,9 @@ from opsloom.llm.common import partitions
 
 PRIMES = (np.uint64(2147483647), np.uint64(2147483629))
 BASES = (1103515245, 69069001)
-SPAN = 12
+# Lengths of spans: a text takes the largest that is at most a quarter of it, so that texts of
+# nearly equal length share spans.
+SPANS = (1, 3, 6, 12)
 BINS = 64
 EMPTY = 0xFFFF
 
@@ -88,10 +90,9 @@ class Prefixes:
         return low
 
     def spans(self, length: int) -> np.ndarray:
-        """62-bit hashes of all spans of ``length``, or of a quarter of the text if that is shorter."""
-        if not self.n:
+        """62-bit hashes of all spans of ``length``."""
+        if self.n < length:
             return np.array([], np.uint64)
-        length = min(length, max(1, self.n // 4))
         last = self.n - length
         powers = POWERS.upto(self.n)
         found = None
@@ -113,7 +114,8 @@ def mixed(values: np.ndarray) -> np.ndarray:
 
 def fingerprint(prefixes: Prefixes) -> np.ndarray:
     """The smallest span hash of each bin in 16 bits; ``EMPTY`` for a bin without spans."""
-    hashes = np.sort(mixed(prefixes.spans(SPAN)))
+    length = max((s for s in SPANS if s <= prefixes.n // 4), default=SPANS[0])
+    hashes = np.sort(mixed(prefixes.spans(length)))
     # The bin is the highest bits, so the sorted hashes hold the bins one after another.
     bins = (hashes >> np.uint64(58)).astype(np.int64)
     found = np.full(BINS, EMPTY, np.uint16)

@@ -1,6 +1,7 @@
 """Resharding by minimum-cost flow.
 
-The rows of each old shard are dealt into blocks by a hash, and the blocks' bytes are summed.
+The rows of each old shard are dealt into blocks by a hash of id, text and occurrence, so that
+rows which repeat id and text spread like any others, and the blocks' bytes are summed.
 Moving a byte costs one, leaving it where it is costs nothing: a minimum-cost flow from old
 sizes to new capacities says how many bytes go from which shard to which, and blocks of about
 those bytes are assigned. Only the shard sizes and block sizes come to the driver; their
@@ -20,6 +21,8 @@ from opsloom.plans.ranking import ordered_rank
 SHARDS = 24
 # Blocks of one old shard: the finer, the nearer the new shards come to their capacities.
 BLOCKS = 2048
+# Rows that repeat id and text which one task counts up in a go.
+REPEATS = 1024
 # Bytes that each row needs besides its text.
 ROW_BYTES = 8
 
@@ -133,6 +136,25 @@ def even_out(blocks, placed, capacities):
     return placed
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with an ``occurrence`` that tells equal rows apart: 0, 1, 2, ...
+
+    Equal rows are counted, which combines them before they travel, and written out again;
+    the copies of a row that repeats very often are written by many tasks.
+    """
+    kinds = written(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("times")), "shard-kinds")
+    few = kinds.where(F.col("times") <= REPEATS).select(
+        *rows.columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)).alias("occurrence")
+    )
+    first = F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1, F.lit(REPEATS).cast("long")))
+    parts = kinds.where(F.col("times") > REPEATS).select(*rows.columns, "times", first.alias("first"))
+    last = F.least(F.col("first") + REPEATS, F.col("times")) - 1
+    many = parts.repartition(*rows.columns, "first").select(
+        *rows.columns, F.explode(F.sequence(F.col("first"), last)).alias("occurrence")
+    )
+    return few.unionByName(many)
+
+
 def resharded(docs: DataFrame, old: Column, shards: int = SHARDS, capacities: list[int] | None = None) -> DataFrame:
     """doc_id, size, text_crc32, old_shard, shard, slot: one row per row of ``docs``.
 
@@ -142,15 +164,14 @@ def resharded(docs: DataFrame, old: Column, shards: int = SHARDS, capacities: li
     table gives none; other columns are ignored.
     """
     spark = docs.sparkSession
-    rows = written(
-        docs.select(
-            "doc_id",
-            (F.octet_length(whole_text()) + ROW_BYTES).cast("long").alias("size"),
-            F.crc32(whole_text()).alias("text_crc32"),
-            old.cast("int").alias("old_shard"),
-        ).withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(BLOCKS)).cast("int")),
-        "shard-rows",
+    slim = docs.select(
+        "doc_id",
+        (F.octet_length(whole_text()) + ROW_BYTES).cast("long").alias("size"),
+        F.crc32(whole_text()).alias("text_crc32"),
+        old.cast("int").alias("old_shard"),
     )
+    block = F.pmod(F.xxhash64("doc_id", "text_crc32", "occurrence"), F.lit(BLOCKS)).cast("int")
+    rows = written(numbered(slim).withColumn("block", block), "shard-rows")
     sums = rows.groupBy("old_shard", "block").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).collect()
     bytes_of = {(r["old_shard"], r["block"]): r["bytes"] for r in sums}
     placed = assign_blocks(bytes_of, capacities or equal_capacities(sum(bytes_of.values()), shards))
