@@ -1,82 +1,91 @@
 """How far the sources of a language are apart in their words: an exact audit.
 
-One ``CountVectorizer`` (``minDF`` documents, the largest integer as ``vocabSize``) serves all
-languages: every term carries its language in front, so a term's document count is its count
-in that language. It turns documents into exact sparse vectors, whose entries are summed per
-(language, source). Probabilities are scaled integers, and a pair of sources is evaluated from
-the entries that are there: a term that a source lacks has one probability for the whole
-source, so absent terms enter as counts.
+Count vectors: each document becomes a sparse vector of term counts, the vocabulary of a
+language being all its terms of at least ``MIN_DOCS`` documents, without a limit on its size.
+Vectors are summed per (language, source), and the same sums tell the documents of each term,
+so that one pass over the texts is enough and no vocabulary meets the driver or has to fit an
+executor. Probabilities are scaled integers, and a pair of sources is evaluated from the entries
+that are there: a term that a source lacks has one probability for the whole source, so absent
+terms enter as counts.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import CountVectorizer
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsloom.llm.common import written
 
-# Runs without ASCII characters other than letters.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 MIN_DOCS = 30
-MAX_VOCABULARY = 2**31 - 1
 # Scale of probabilities, and what is added to every count.
 SCALE, PRIOR = 1_000_000_000, 5
 TOP_TERMS = 50
-# Terms and bytes of a vocabulary that each executor holds; a larger one stays a table.
-VOCABULARY_ROWS, VOCABULARY_BYTES = 1_000_000, 32 << 20
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# Stands between language and term; no term holds it.
-MARK = "\0"
-
-
-def tokenized(docs: DataFrame) -> DataFrame:
-    """lang, source, terms: each document's terms in order, with the language in front of each."""
-    lang, source, text = (F.coalesce(c, F.lit("")) for c in ("lang", "source", "text"))
-    terms = F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(TERM), F.lit(0))
-    named = F.transform("terms", lambda t: F.concat(F.col("lang"), F.lit(MARK), t))
-    rows = docs.select(lang.alias("lang"), source.alias("source"), terms.alias("terms"))
-    return rows.select("lang", "source", named.alias("terms"))
-
-
-def kept_terms(tokens: DataFrame, min_docs: int) -> DataFrame:
-    """lang, name: the terms of enough documents, ``name`` with the language in front."""
-    once = tokens.select("lang", F.explode(F.array_distinct("terms")).alias("name"))
-    return once.groupBy("lang", "name").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs).drop("docs")
-
-
-def fits_executors(vocabulary: DataFrame) -> bool:
-    size = vocabulary.agg(
-        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("name")), F.lit(0)).alias("bytes")
-    ).first()
-    return 0 < size["rows"] <= VOCABULARY_ROWS and size["bytes"] <= VOCABULARY_BYTES
-
-
-def vector_sums(tokens: DataFrame, min_docs: int) -> DataFrame:
-    """lang, source, name, n: group sums of the documents' sparse vectors."""
-    counter = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=MAX_VOCABULARY)
-    model = counter.fit(tokens)
-    entries = F.unwrap_udt("vector")
-    pairs = F.arrays_zip(entries["indices"].alias("index"), entries["values"].alias("n"))
-    sums = (
-        model.transform(tokens.where("size(terms) > 0"))
-        .select("lang", "source", F.explode(pairs).alias("entry"))
-        .groupBy("lang", "source", F.col("entry.index").alias("index"))
-        .agg(F.sum(F.col("entry.n").cast("long")).alias("n"))
-    )
-    spark = tokens.sparkSession
-    names = spark.createDataFrame(list(enumerate(model.vocabulary)), "index int, name string")
-    return sums.join(F.broadcast(names), "index").select("lang", "source", "name", "n")
-
-
-def joined_sums(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """The same sums where the vocabulary is too large for an executor."""
-    sums = (
-        tokens.select("lang", "source", F.explode("terms").alias("name"))
-        .groupBy("lang", "source", "name")
-        .agg(F.count(F.lit(1)).alias("n"))
+# Bytes of a text that are cut into terms at once, and entries of one row of a vector.
+PIECE, ENTRIES = 1 << 20, 1 << 15
+# A term is a run without ASCII characters other than letters: those become spaces, A-Z lower case.
+FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+
+
+def counted_terms(text: str | None) -> Counter:
+    """The terms of a whole text with their counts; beside them only a piece of it is held as terms."""
+    data, at, found = (text or "").encode().translate(FOLD), 0, Counter()
+    while at < len(data):
+        # To the last space of a piece, or beyond it to the end of a longer term.
+        end = data.rfind(b" ", at, at + PIECE) + 1 if len(data) - at > PIECE else len(data)
+        if end <= at:
+            end = data.find(b" ", at + PIECE) + 1 or len(data)
+        found.update(data[at:end].split())
+        at = end
+    return found
+
+
+VECTORS = "lang string, source string, terms array<string>, counts array<long>"
+VECTOR_SCHEMA = pa.schema(
+    [("lang", pa.string()), ("source", pa.string()), ("terms", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))]
+)
+
+
+def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents' sparse vectors; a vector of very many terms takes several rows."""
+    rows, entries = [], 0
+    for batch in batches:
+        for lang, source, text in zip(*(batch[c] for c in ("lang", "source", "text")), strict=True):
+            found = counted_terms(text.as_py())
+            terms, counts = list(found), list(found.values())
+            for at in range(0, len(terms), ENTRIES):
+                rows.append((lang.as_py(), source.as_py(), terms[at : at + ENTRIES], counts[at : at + ENTRIES]))
+                entries += len(rows[-1][2])
+                if entries >= ENTRIES:
+                    yield vector_batch(rows)
+                    rows, entries = [], 0
+    yield vector_batch(rows)
+
+
+def vector_batch(rows: list[tuple[str, str, list[bytes], list[int]]]) -> pa.RecordBatch:
+    langs, sources, terms, counts = zip(*rows, strict=True) if rows else ((),) * 4
+    text = pa.array(terms, pa.list_(pa.binary())).cast(pa.list_(pa.string()))
+    columns = [pa.array(langs, pa.string()), pa.array(sources, pa.string()), text, pa.array(counts, pa.list_(pa.int64()))]
+    return pa.RecordBatch.from_arrays(columns, schema=VECTOR_SCHEMA)
+
+
+def named(docs: DataFrame) -> DataFrame:
+    return docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")])
+
+
+def vector_sums(docs: DataFrame) -> DataFrame:
+    """lang, source, term, n, docs: the sums of a group's vectors, and in how many a term stands."""
+    entry = F.explode(F.arrays_zip("terms", "counts")).alias("entry")
+    return (
+        named(docs)
+        .mapInArrow(vectors, VECTORS)
+        .select("lang", "source", entry)
+        .groupBy("lang", "source", F.col("entry.terms").alias("term"))
+        .agg(F.sum("entry.counts").alias("n"), F.count(F.lit(1)).alias("docs"))
     )
-    return sums.join(vocabulary.hint("merge"), ["lang", "name"]).select("lang", "source", "name", "n")
 
 
 def scaled(n: Column, total: Column, terms: Column) -> Column:
@@ -93,31 +102,34 @@ def group_terms(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, D
     probability), one row per group. ``terms``: lang, source, term, p, q (the language's
     probability), one row per kept term that stands in the group.
     """
-    tokens = written(tokenized(docs), "terms")
-    vocabulary = written(kept_terms(tokens, min_docs), "vocabulary")
-    sums = vector_sums(tokens, min_docs) if fits_executors(vocabulary) else joined_sums(tokens, vocabulary)
-    sums = written(sums, "term-sums")
-    sizes = vocabulary.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"))
+    every = written(vector_sums(docs), "vector-sums")
+    vocabulary = written(
+        every.groupBy("lang", "term")
+        .agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs"))
+        .where(F.col("docs") >= min_docs)
+        .drop("docs"),
+        "vocabulary",
+    )
+    sums = written(every.drop("docs").join(vocabulary.hint("merge"), ["lang", "term"]), "term-sums")
+    sizes = vocabulary.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("lang_n").alias("lang_total"))
     totals = sums.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = (
-        tokens.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(sizes, "lang", "left")
+        named(docs).select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(sizes, "lang", "left")
     ).select(
         "lang",
         "source",
         F.coalesce("total", F.lit(0)).alias("total"),
         F.coalesce("terms", F.lit(0)).cast("long").alias("terms"),
+        "lang_total",
     )
     zero = F.when(F.col("terms") > 0, scaled(F.lit(0), F.col("total"), F.col("terms")))
     groups = written(groups.withColumn("zero", zero), "term-groups")
-    whole = groups.groupBy("lang").agg(F.sum("total").alias("lang_total"), F.max("terms").alias("lang_terms"))
-    in_lang = sums.groupBy("lang", "name").agg(F.sum("n").alias("lang_n")).join(whole, "lang")
-    q = in_lang.select("lang", "name", scaled(F.col("lang_n"), F.col("lang_total"), F.col("lang_terms")).alias("q"))
-    term = F.expr(f"substring(name, char_length(lang) + {1 + len(MARK)})")
-    terms = (
-        sums.join(groups.select("lang", "source", "total", "terms"), ["lang", "source"])
-        .withColumn("p", scaled(F.col("n"), F.col("total"), F.col("terms")))
-        .join(q, ["lang", "name"])
-        .select("lang", "source", term.alias("term"), "p", "q")
+    terms = sums.join(groups, ["lang", "source"]).select(
+        "lang",
+        "source",
+        "term",
+        scaled(F.col("n"), F.col("total"), F.col("terms")).alias("p"),
+        scaled(F.col("lang_n"), F.col("lang_total"), F.col("terms")).alias("q"),
     )
     return groups, written(terms, "group-terms")
 
@@ -175,8 +187,8 @@ def audited(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS) ->
     the ``top`` terms that the source has more of than its language. Null text, lang and source
     are empty strings; a document without terms still makes its group occur. A language
     without kept terms has distances 0. Repeated rows are documents of their own; equal values
-    are ranked by item; an empty table gives no rows; other columns are ignored. A document's
-    terms are one array, so memory follows the longest text.
+    are ranked by item; an empty table gives no rows; other columns are ignored. Texts of any
+    length are cut into terms in pieces.
     """
     groups, terms = group_terms(docs, min_docs)
     pairs = ranked(written(pair_values(groups, terms), "pair-values"), "pair")

@@ -39,10 +39,11 @@ def divergence_rows(spark):
     return spark.createDataFrame([(*r, None, "k", 1.0, None) for r in rows], DOCUMENTS)
 
 
-@pytest.mark.parametrize("held", [1_000_000, 0])
-def test_divergence_matches_sql(spark, run, monkeypatch, held):
-    """With the vocabulary in the executors, and with one too large for them."""
-    monkeypatch.setattr(divergence, "VOCABULARY_ROWS", held)
+@pytest.mark.parametrize("piece, entries", [(1 << 20, 1 << 15), (7, 2)])
+def test_divergence_matches_sql(spark, run, monkeypatch, piece, entries):
+    """Also with texts in small pieces and vectors in many rows."""
+    monkeypatch.setattr(divergence, "PIECE", piece)
+    monkeypatch.setattr(divergence, "ENTRIES", entries)
     docs = divergence_rows(spark)
     got = divergence.audited(docs)
     want = tables(documents=docs).execute(checks.DIVERGENCE)
