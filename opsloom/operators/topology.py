@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opsloom.plans.durable import durable
+from opsloom.plans.durable import durable, stored
 from opsloom.plans.sizing import small_side
 
 # Rounds after which the pairs found so far are written as one table again.
@@ -73,7 +73,7 @@ def grown(pairs: DataFrame, ahead) -> DataFrame:
 def doubled(jump: DataFrame) -> DataFrame:
     """Pointers twice as long, of nodes that have (from, to) pointers, one each."""
     on = jump.select(F.col("from").alias("to"), F.col("to").alias("further"))
-    return durable(jump.join(on, "to").select("from", F.col("further").alias("to")))
+    return stored(jump.join(on, "to").select("from", F.col("further").alias("to")), "jump")
 
 
 def pointers_ahead(step: DataFrame):
@@ -140,7 +140,7 @@ def dependent_counts(edges: DataFrame) -> DataFrame:
         # the nodes exactly n below.
         more = jump.join(below, F.col("from") == F.col("name")).groupBy("to").agg(F.sum("weight").alias("more"))
         weight = (F.col("weight") + F.coalesce("more", F.lit(0))).alias("weight")
-        below = durable(below.join(more, F.col("name") == F.col("to"), "left").select("name", weight))
+        below = stored(below.join(more, F.col("name") == F.col("to"), "left").select("name", weight), "below")
         jump = doubled(jump)
     counts = named.join(below, "name").select("node", (F.col("weight") - 1).alias("dependents"))
     return counts.where("dependents > 0")
@@ -156,8 +156,8 @@ def on_cycles(step: DataFrame) -> DataFrame:
     length, nodes = 1, jump.count()
     while length < nodes and not jump.isEmpty():
         on = jump.select(F.col("from").alias("to"), F.col("to").alias("further"), F.col("least").alias("then"))
-        jump = durable(
-            jump.join(on, "to").select("from", F.col("further").alias("to"), F.least("least", "then").alias("least"))
+        jump = stored(
+            jump.join(on, "to").select("from", F.col("further").alias("to"), F.least("least", "then").alias("least")), "jump"
         )
         length *= 2
     ends = jump.select(F.col("to").alias("from")).distinct()

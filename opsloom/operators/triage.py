@@ -54,17 +54,19 @@ def triage(gated: DataFrame) -> DataFrame:
 def diagnose(triaged: DataFrame, answers: DataFrame, topology: DataFrame) -> DataFrame:
     """Adds the knowledge-base text, the topology line and the diagnosis.
 
-    ``answers`` (description, answer) holds one row per distinct ticket text, since tickets
-    repeat the same words; ``topology`` (service, topology) one row per service.
+    ``answers`` (query_id, answer) holds one row per distinct ticket text, named by its digest
+    as in ``distinct_descriptions``, since tickets repeat the same words; ``topology`` (service,
+    topology) one row per service.
     """
     passed = ~F.col("security_flagged")
     research = F.concat("answer", F.lit("\nTopology: "), "topology")
     return (
-        triaged.join(small_side(answers), "description", "left")
+        triaged.withColumn("query_id", F.sha2("description", 256))
+        .join(small_side(answers), "query_id", "left")
         .join(small_side(topology.withColumnRenamed("service", "service_name")), "service_name", "left")
         .withColumn("kb_research", F.when(passed, research))
         .withColumn("rca_diagnosis", by_fault(F.col("fault_type"), DIAGNOSIS))
-        .drop("answer", "topology")
+        .drop("query_id", "answer", "topology")
     )
 
 

@@ -40,3 +40,14 @@ def durable(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a written table next to the checkpoints."""
     return f"{checkpoint_root(spark).rstrip('/')}/opsloom/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The same through a written table.
+
+    A checkpoint keeps the optimiser's estimate and constraints of the plan it came from; in a loop
+    that joins a table with itself they double each round. A table that is read has its own size.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -117,11 +117,7 @@ def ticket_diagnosis(v: Views):
     triaged = triage.triage(gated(v))
     asked = triage.distinct_descriptions(gated(v))
     index = retrieval.build_index(v.documents)
-    answers = (
-        retrieval.kb_answers(asked, v.documents, index)
-        .join(asked, "query_id")
-        .select(F.col("query").alias("description"), "answer")
-    )
+    answers = retrieval.kb_answers(asked, v.documents, index)
     services = v.tickets.select(F.col("service_name").alias("service")).distinct()
     lines = topology.topology_text(
         services, topology.dependencies(v.service_edges), topology.blast_radius(v.service_edges)
