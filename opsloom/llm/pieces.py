@@ -27,9 +27,12 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 # Stands for a mark of the text itself; lone surrogates are in no text and in no piece.
 OWN_MARK = "\udc81"
-# Remembered parts of a worker, and the longest part remembered.
-MEMORY = 250_000
+# Bytes of a worker's remembered parts (about what their objects take), and the longest part remembered.
+MEMORY = 48 << 20
 PART = 48
+# Parts of a text and ids whose objects exist at once, and bytes of texts encoded into one batch.
+RUN = 1 << 14
+OUT_BYTES = 1 << 20
 UNKNOWN_PENALTY = 10.0
 
 
@@ -87,20 +90,30 @@ class Coder:
                 scores.append(score)
         self.automaton.make_automaton()
         self.unknown = min(scores, default=0.0) - UNKNOWN_PENALTY
-        self.known: dict[str, tuple[int, ...]] = {}
+        # Ids as 32-bit integers: a remembered part takes its characters, its bytes and two headers.
+        self.known: dict[str, bytes] = {}
+        self.room = MEMORY
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of the whole text; beside it and them only ``RUN`` parts are held at once."""
         if MARK in text:
             text = text.replace(MARK, OWN_MARK)
-        known, ids = self.known, []
-        for part in self.parts.findall(text.replace(" ", MARK)):
-            found = known.get(part)
-            if found is None:
-                found = tuple(self.best_path(part))
-                if len(part) <= PART and len(known) < MEMORY:
-                    known[part] = found
-            ids += found
-        return ids
+        runs, run = [], []
+        for part in self.parts.finditer(text.replace(" ", MARK)):
+            run.append(self.part_ids(part.group()))
+            if len(run) == RUN:
+                runs.append(b"".join(run))
+                run = []
+        return np.frombuffer(b"".join([*runs, *run]), np.int32)
+
+    def part_ids(self, part: str) -> bytes:
+        found = self.known.get(part)
+        if found is None:
+            found = np.array(self.best_path(part), np.int32).tobytes()
+            if len(part) <= PART and self.room > 0:
+                self.known[part] = found
+                self.room -= 200 + 2 * len(part) + len(found)
+        return found
 
     def best_path(self, part: str) -> list[int]:
         """Ids of the segmentation with the highest score; of equal ones, with the longer last piece."""
@@ -131,9 +144,23 @@ class Coder:
                 ids.extend(self.bytes[b] for b in reversed(raw))
         return ids[::-1]
 
-    def decode(self, ids: list[int]) -> str:
+    def decoded_bytes(self, ids: np.ndarray) -> Iterator[bytes]:
+        """The text's bytes, ``RUN`` ids at a time."""
         out = self.out
-        return b"".join([out[i] for i in ids]).decode()
+        for at in range(0, len(ids), RUN):
+            yield b"".join([out[i] for i in ids[at : at + RUN].tolist()])
+
+    def decode(self, ids: np.ndarray) -> str:
+        return b"".join(self.decoded_bytes(ids)).decode()
+
+    def gives_back(self, ids: np.ndarray, text: str) -> bool:
+        """Whether decoding the ids gives the text."""
+        data, at = text.encode(), 0
+        for run in self.decoded_bytes(ids):
+            if data[at : at + len(run)] != run:
+                return False
+            at += len(run)
+        return at == len(data)
 
 
 ENCODED = StructType(
@@ -151,31 +178,43 @@ def encoded(docs: DataFrame, path: str = MODEL_PATH) -> DataFrame:
 
     A null text is empty; an empty text has no tokens; repeated rows give repeated results;
     an empty table gives none; other columns are ignored. ``round_trip`` tells that decoding
-    the tokens gives the text again.
+    the tokens gives the text again. A very long text is held with its ids, four bytes each;
+    a part without a space or line end is one piece of work, about 60 bytes a character.
     """
     shared = docs.sparkSession.sparkContext.broadcast(load(path))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                yield encode_rows(coder, batch.slice(at, 64))
+            yield from encoded_rows(coder, batch)
 
     return docs.select("doc_id", "text").mapInArrow(encode, ENCODED)
 
 
-def encode_rows(coder: Coder, batch: pa.RecordBatch) -> pa.RecordBatch:
-    rows, same = [], []
-    for text in batch["text"].to_pylist():
-        ids = coder.encode(text or "")
-        same.append(coder.decode(ids) == (text or ""))
-        rows.append(np.array(ids, np.int32))
+def encoded_rows(coder: Coder, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows' results in batches of about ``OUT_BYTES`` of text."""
+    first, size = 0, 0
+    rows: list[np.ndarray] = []
+    same: list[bool] = []
+    for text in batch["text"]:
+        text = text.as_py() or ""
+        ids = coder.encode(text)
+        same.append(coder.gives_back(ids, text))
+        rows.append(ids)
+        size += len(text)
+        if size >= OUT_BYTES or len(rows) == 1024:
+            yield token_batch(batch["doc_id"].slice(first, len(rows)), rows, same)
+            first, size, rows, same = first + len(rows), 0, [], []
+    if rows:
+        yield token_batch(batch["doc_id"].slice(first, len(rows)), rows, same)
+
+
+def token_batch(doc_ids: pa.Array, rows: list[np.ndarray], same: list[bool]) -> pa.RecordBatch:
     sizes = np.array([len(r) for r in rows], np.int64)
     ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-    values = np.concatenate(rows) if rows else np.array([], np.int32)
-    tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int32()))
+    tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows), pa.int32()))
     return pa.RecordBatch.from_arrays(
-        [batch["doc_id"], pa.array(sizes), tokens, pa.array(same, pa.bool_())], names=ENCODED.names
+        [doc_ids, pa.array(sizes), tokens, pa.array(same, pa.bool_())], names=ENCODED.names
     )
 
 
@@ -187,7 +226,9 @@ def decoded(rows: DataFrame, path: str = MODEL_PATH, column: str = "tokens") ->
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(shared.value)
         for batch in batches:
-            texts = [None if ids is None else coder.decode(ids) for ids in batch[column].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(texts, pa.string())], names=["doc_id", "text"])
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                texts = [coder.decode(ids.values.to_numpy()) if ids.is_valid else None for ids in part[column]]
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return rows.select("doc_id", column).mapInArrow(decode, "doc_id long, text string")
