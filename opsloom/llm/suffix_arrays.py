@@ -2,10 +2,13 @@
 
 Suffixes are classified as larger or smaller than their right neighbour, the leftmost-smaller
 substrings are sorted by inducing from their first letters and named, the string of names is
-sorted in turn, and the whole array is induced from it. Inducing walks over the buckets of
-the byte alphabet; what one bucket sends on is placed in one array operation, so the walk is
-linear in the text and short in Python. The string of names has far too many letters for
-such a walk; it is sorted by doubling of ranks.
+sorted in turn by the same function, and the whole array is induced from it. Inducing walks
+over the buckets of the alphabet; what one bucket sends on is placed in one array operation,
+so the walk is linear in the text and short in Python. Names are written as two digits each,
+which keeps the alphabet as small as the square root of their number: suffixes that start at
+a first digit have the order of the names' suffixes. No two neighbours are leftmost-smaller,
+so the string of digits is always shorter than the one before. Where it is short, and a walk
+would be all overhead, the recursion ends in a doubling of ranks.
 """
 
 from __future__ import annotations
@@ -13,6 +16,10 @@ from __future__ import annotations
 import numpy as np
 
 END, GAP = 0, 1
+# Letters compared in one go.
+BLOCK = 1 << 18
+# Names whose digits are fewer are sorted by doubling.
+SHORT = 1 << 18
 
 
 def joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -32,8 +39,9 @@ def smaller_types(letters: np.ndarray) -> np.ndarray:
     n = len(letters)
     step = np.sign(letters[1:] - letters[:-1])
     # Equal neighbours have the type of the next position that differs.
-    places = np.where(step != 0, np.arange(n - 1), n)
-    after = np.minimum.accumulate(places[::-1])[::-1]
+    after = np.arange(n - 1, dtype=np.int32)
+    after[step == 0] = n
+    after = np.minimum.accumulate(after[::-1])[::-1]
     types = np.ones(n, bool)
     types[:-1] = step[np.minimum(after, n - 2)] > 0
     return types
@@ -102,22 +110,36 @@ class Inducer:
     def names(self, ordered: np.ndarray) -> np.ndarray:
         """Names of leftmost-smaller substrings in their sorted order: equal ones share a name."""
         places = np.flatnonzero(self.leftmost)
-        length = np.ones(len(self.letters), np.int64)
+        length = np.ones(len(self.letters), np.int32)
         length[places[:-1]] = np.diff(places) + 1
-        a, b = ordered[:-1].astype(np.int64), ordered[1:].astype(np.int64)
-        same = length[a] == length[b]
+        same = length[ordered[:-1]] == length[ordered[1:]]
         pairs = np.flatnonzero(same)
-        if len(pairs):
-            sizes = length[a[pairs]]
-            first = np.cumsum(sizes) - sizes
-            within = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
-            equal = self.letters[np.repeat(a[pairs], sizes) + within] == self.letters[np.repeat(b[pairs], sizes) + within]
-            same[pairs] = np.logical_and.reduceat(equal, first)
-        return np.concatenate([[0], np.cumsum(~same)])
+        # Substrings are compared about ``BLOCK`` letters at a time.
+        ends = np.cumsum(length[ordered[pairs]], dtype=np.int64)
+        cuts = np.searchsorted(ends, np.arange(BLOCK, int(ends[-1]) if len(ends) else 0, BLOCK))
+        for some in np.split(pairs, np.unique(cuts)):
+            if not len(some):
+                continue
+            a, b = ordered[some], ordered[some + 1]
+            sizes = length[a]
+            first = np.cumsum(sizes, dtype=np.int32) - sizes
+            within = np.arange(int(sizes.sum()), dtype=np.int32) - np.repeat(first, sizes)
+            equal = self.letters[np.repeat(a, sizes) + within] == self.letters[np.repeat(b, sizes) + within]
+            same[some] = np.logical_and.reduceat(equal, first)
+        return np.concatenate([[0], np.cumsum(~same, dtype=np.int32)])
+
+
+def two_digits(names: np.ndarray) -> np.ndarray:
+    """Each name as two digits from 1, and an end."""
+    base = int(np.ceil(np.sqrt(int(names.max()) + 1)))
+    letters = np.zeros(2 * len(names) + 1, np.int16 if base < 32000 else np.int32)
+    letters[0:-1:2] = names // base + 1
+    letters[1:-1:2] = names % base + 1
+    return letters
 
 
 def doubled(ranks: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of a string of names, by ranks of prefixes of doubling length."""
+    """Order of the suffixes of a short string, by ranks of prefixes of doubling length."""
     n, width = len(ranks), 1
     ranks = ranks.astype(np.int64) + 1
     while True:
@@ -132,19 +154,30 @@ def doubled(ranks: np.ndarray) -> np.ndarray:
         width = min(2 * width, n)
 
 
+def sorted_names(names: np.ndarray) -> np.ndarray:
+    """Order of the suffixes of a string of names."""
+    if 2 * len(names) < SHORT:
+        return doubled(names)
+    array = suffix_array(two_digits(names))
+    return array[(array % 2 == 0) & (array < 2 * len(names))] // 2
+
+
 def suffix_array(letters: np.ndarray) -> np.ndarray:
     """Positions of all suffixes in order; the last letter is the only ``END``."""
     inducer = Inducer(letters)
-    leftmost = np.flatnonzero(inducer.leftmost)
+    leftmost = np.flatnonzero(inducer.leftmost).astype(np.int32)
     if not len(leftmost):
-        return np.zeros(1, np.int32)
+        return np.arange(len(letters) - 1, -1, -1, dtype=np.int32)
     rough = inducer.induce(leftmost)
     ordered = rough[inducer.leftmost[rough]]
+    del rough
     names = inducer.names(ordered)
     if names[-1] + 1 < len(names):
-        by_place = np.empty(len(letters), np.int64)
+        by_place = np.empty(len(letters), np.int32)
         by_place[ordered] = names
-        ordered = leftmost[doubled(by_place[leftmost])]
+        string = by_place[leftmost]
+        del by_place, names, ordered
+        ordered = leftmost[sorted_names(string)]
     return inducer.induce(ordered)
 
 
@@ -156,19 +189,19 @@ def common_prefixes(letters: np.ndarray, array: np.ndarray, starts: np.ndarray,
     are exact up to ``limit`` within a part.
     """
     n = len(letters)
-    before = np.empty(n, np.int64)
+    before = np.empty(n, np.int32)
     before[array[1:]] = array[:-1]
     before[array[0]] = -1
-    has = before >= 0
     irreducible = np.ones(n, bool)
-    inner = np.flatnonzero(has[1:] & (before[1:] > 0)) + 1
+    inner = np.flatnonzero(before[1:] > 0).astype(np.int32) + 1
     irreducible[inner] = letters[inner - 1] != letters[before[inner] - 1]
     irreducible[starts] = True
-    places = np.flatnonzero(irreducible)
-    found = np.zeros(len(places), np.int64)
+    del inner
+    places = np.flatnonzero(irreducible).astype(np.int32)
+    found = np.zeros(len(places), np.int32)
     padded = np.concatenate([letters, np.full(4 + limit, END, np.int16)])
-    words = np.ndarray((n + limit,), "<u8", padded.tobytes(), strides=(2,))
-    live = np.flatnonzero(has[places])
+    words = np.ndarray((n + limit,), "<u8", padded.data, strides=(2,))
+    live = np.flatnonzero(before[places] >= 0).astype(np.int32)
     at = 0
     while len(live) and at < limit:
         a, b = places[live] + at, before[places[live]] + at
@@ -178,13 +211,15 @@ def common_prefixes(letters: np.ndarray, array: np.ndarray, starts: np.ndarray,
         rest = differ[~equal]
         # Letters are 16 bits: the lowest differing one ends the prefix.
         low = (rest & (~rest + np.uint64(1))).astype(np.float64)
-        found[live[~equal]] = at + (np.log2(low).astype(np.int64) // 16)
+        found[live[~equal]] = at + (np.log2(low).astype(np.int32) // 16)
         live = live[equal]
         at += 4
     found[live] = limit
-    last = np.maximum.accumulate(np.where(irreducible, np.arange(n), 0))
-    index = np.cumsum(irreducible) - 1
-    prefix = found[index] - (np.arange(n) - last)
+    # From one irreducible place to the next, values fall by one.
+    sizes = np.diff(np.append(places, n))
+    found += places
+    prefix = np.repeat(found, sizes)
+    prefix -= np.arange(n, dtype=np.int32)
     return prefix, before
 
 
@@ -194,13 +229,16 @@ def repeated_windows(parts: list[bytes], window: int) -> list[np.ndarray]:
     array = suffix_array(letters)
     longest = max(map(len, parts), default=0)
     prefix, before = common_prefixes(letters, array, starts, longest + 4)
-    room = np.zeros(len(letters), np.int64)
+    n = len(letters)
+    del letters, array
+    hit = prefix >= window
+    del prefix
     for start, part in zip(starts, parts, strict=True):
-        room[start : start + len(part)] = np.arange(len(part), 0, -1)
-    hit = np.flatnonzero((prefix >= window) & (room >= window))
-    marked = np.zeros(len(letters), bool)
-    marked[hit] = True
+        # No window starts in a part's last bytes.
+        hit[start + max(0, len(part) - window + 1) : start + len(part) + 1] = False
+    marked = np.zeros(n, bool)
     marked[before[hit]] = True
+    marked |= hit
     return [
         marked[start : start + max(0, len(part) - window + 1)] for start, part in zip(starts, parts, strict=True)
     ]

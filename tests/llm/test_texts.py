@@ -7,9 +7,12 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from opsloom.llm import pieces, prefix_prints, resharding, secret_scan, suffix_arrays, suffix_dedup
+from opsloom.llm.common import row_key
 from pyspark.sql import functions as F
 from tests.llm.conftest import HARD, SMALL
 
@@ -21,12 +24,14 @@ def small_documents(spark):
     return [tuple(r) for r in rows]
 
 
-def test_suffix_arrays_of_random_parts():
+def test_suffix_arrays_of_random_parts(monkeypatch):
     draw = random.Random(1)
     for _ in range(150):
         letters = draw.choice([1, 2, 3, 26, 256])
         parts = [bytes(draw.randrange(letters) for _ in range(draw.randrange(60))) for _ in range(draw.randrange(1, 7))]
         parts += [parts[0][3:] + parts[-1], b"ab" * draw.randrange(20)]
+        # The recursion down to the end, and its end by doubling.
+        monkeypatch.setattr(suffix_arrays, "SHORT", draw.choice([0, 40, 1 << 18]))
         joined, _ = suffix_arrays.joined(parts)
         plain = joined.tolist()
         assert suffix_arrays.suffix_array(joined).tolist() == sorted(range(len(plain)), key=lambda i: plain[i:])
@@ -60,9 +65,33 @@ def repeat_rows():
     return rows + [(205, prose(5000)), (205, "x" * 401), (206, prose(200) + passage[100:650] + passage[100:650])]
 
 
+def test_names_beyond_one_letter_size():
+    """More names than letters have bits for, so that the recursion sees two digits of each."""
+    draw = random.Random(7)
+    text = bytes(draw.randrange(256) for _ in range(1 << 18))
+    letters, _ = suffix_arrays.joined([text, text[1000:200_000]])
+    array = suffix_arrays.suffix_array(letters)
+    assert sorted(array.tolist()) == list(range(len(letters)))
+    raw = (letters.astype(">u2")).tobytes()
+    some = [raw[2 * i : 2 * i + 500_000] for i in array[::997].tolist()]
+    assert some == sorted(some)
+
+
+def test_shards_stay_within_their_bound(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SHARD", 1000)
+    draw = random.Random(5)
+    rows = [(a, s, False, bytes(draw.randrange(10, 120))) for a in range(300) for s in range(draw.randrange(1, 8))]
+    shards = list(suffix_dedup.shards_of(iter(rows + rows[-1:])))
+    assert [k for shard in shards for k in shard] == [r[:2] for r in rows]
+    assert all(sum(len(b) for _, b in shard.values()) <= 1000 for shard in shards)
+    assert len({a for shard in shards for a in {a for a, _ in shard}}) == sum(len({a for a, _ in s}) for s in shards)
+
+
 @pytest.mark.parametrize("hot", [4 << 20, 1000])
 def test_suffix_dedup_matches_brute_force(documents, monkeypatch, hot):
+    """Also with most anchors split by longer strings."""
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "SHARD", hot // 2)
     got = suffix_dedup.deduplicated(documents(repeat_rows())).drop("kept").collect()
     assert sorted(map(tuple, got), key=str) == brute_dedup(repeat_rows())
 
@@ -74,9 +103,9 @@ def test_suffix_dedup_query_matches_brute_force(spark, run):
 
 def test_segments_do_not_depend_on_blocks(monkeypatch):
     data = bytes(random.Random(4).randrange(4) for _ in range(6000)) + b"ab" * 3000
-    whole = [w for a, f, l, _, _ in suffix_dedup.segments(data) for v, x, y in zip(a, f, l) for w in [(v, i) for i in range(x, y + 1)]]  # noqa: B905
+    whole = [w for a, f, l, _, _ in suffix_dedup.segments(data, 64) for v, x, y in zip(a, f, l) for w in [(v, i) for i in range(x, y + 1)]]  # noqa: B905
     monkeypatch.setattr(suffix_dedup, "BLOCK", 777)
-    cut = [w for a, f, l, _, _ in suffix_dedup.segments(data) for v, x, y in zip(a, f, l) for w in [(v, i) for i in range(x, y + 1)]]  # noqa: B905
+    cut = [w for a, f, l, _, _ in suffix_dedup.segments(data, 64) for v, x, y in zip(a, f, l) for w in [(v, i) for i in range(x, y + 1)]]  # noqa: B905
     assert whole == cut and [i for _, i in cut] == list(range(len(data) - 399))
 
 
@@ -109,6 +138,21 @@ def test_pieces_find_the_best_path():
         assert got + unknown * coder.unknown == brute_best(vocabulary, text.replace(" ", pieces.MARK))
 
 
+def test_pieces_of_long_texts_and_a_full_memory(monkeypatch):
+    """Runs, a memory that is full at once, and batches that are cut by bytes change no result."""
+    texts = ["a b\n" * 300 + "ä" * 500, "", "one two " * 50, "▁x" * 99]
+    want = [pieces.Coder(pieces.load()).encode(t).tolist() for t in texts]
+    monkeypatch.setattr(pieces, "RUN", 7)
+    monkeypatch.setattr(pieces, "MEMORY", 500)
+    monkeypatch.setattr(pieces, "OUT_BYTES", 300)
+    coder = pieces.Coder(pieces.load())
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(6)), "text": [*texts, None, "z"]})
+    got = [r for part in pieces.encoded_rows(coder, batch) for r in part.to_pylist()]
+    assert [r["tokens"] for r in got[:4]] == want and [r["doc_id"] for r in got] == list(range(6))
+    assert all(r["round_trip"] and r["n_tokens"] == len(r["tokens"]) for r in got)
+    assert len(coder.known) < 5 and not coder.gives_back(np.array(want[2][1:], np.int32), texts[2])
+
+
 def test_pieces_round_trip(documents, spark, run):
     rows = [*HARD, (300, "▁ mark ▁▁"), (301, "\t\r\n\x0b"), (302, "x" * 50_000)]
     table = pieces.encoded(documents(rows))
@@ -164,6 +208,21 @@ def test_resharding_law(run, documents, tmp_path):
     assert len(hard) == len(HARD) and sorted((r.shard, r.slot) for r in hard) == sorted({(r.shard, r.slot) for r in hard})
 
 
+def test_equal_rows_spread_over_the_shards(documents):
+    """Thousands of rows without id and with one text, beside rows that stand once."""
+    docs = documents([(None, "the same text")] * 3000 + [(i, "x" * (i % 40)) for i in range(200)] + [(7, None)] * 5)
+    one, two = (
+        sorted(map(tuple, resharding.resharded(docs.repartition(n), F.lit(0)).collect()), key=str) for n in (1, 7)
+    )
+    assert one == two and len(one) == 3205
+    loads, slots = defaultdict(int), defaultdict(list)
+    for _, size, _, _, shard, slot in one:
+        loads[shard] += size
+        slots[shard].append(slot)
+    assert sorted(loads) == list(range(resharding.SHARDS)) and max(loads.values()) - min(loads.values()) <= 64
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_rewrite_shrinks_a_folder_with_null_and_repeated_ids(documents, tmp_path):
     path = str(tmp_path / "shards")
     rows = [(None if i % 9 == 0 else i // 3, f"t{i % 5}" * (i % 7), str(i % 24)) for i in range(240)]
@@ -222,6 +281,12 @@ def test_fingerprints(documents, spark, run):
     assert lone.near_next == 1.0
 
 
+def test_short_texts_of_unequal_length_share_spans(documents):
+    line = "short line, of thirty points.."
+    got = {r.doc_id: r.near_next for r in prefix_prints.fingerprinted(documents([(1, line), (2, line + "more")])).collect()}
+    assert got[1] == got[2] > 0.5
+
+
 PATTERNS = {
     "assign": (re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII), 2, 12),
     "access": (re.compile(r"AKIA[A-Z0-9]+"), 0, 18),
@@ -256,6 +321,28 @@ def check_secrets(rows, got):
     assert sorted((tuple(r)[:5] for r in got), key=str) == sorted(want, key=str)
 
 
+def test_owners_and_repositories_decide(spark, documents):
+    """Both sides of both limits: one owner with few and many repositories, two owners, three."""
+    wide, value = secret_scan.WIDE_REPOSITORIES, "token=Zx81kLmn0pQr{:02}"
+    held = {0: [("a", i) for i in range(wide - 1)], 1: [("a", i) for i in range(wide)], 2: [("a", 0), ("b", 0)]}
+    held |= {3: [("a", 0), ("b", 0), ("c", 0)], 4: [("a", 0), ("a", 1), ("b", 0), ("b", 1)], 5: [("a", 0)] * 50}
+    rows = [(f"{n}-{i}", value.format(n), *at) for n, places in held.items() for i, at in enumerate(places)]
+    frame = spark.createDataFrame(rows, "name string, text string, source string, lang int")
+    frame = frame.withColumn("doc_id", F.monotonically_increasing_id())
+    names = {r.doc_id: r.name for r in frame.collect()}
+    found = defaultdict(set)
+    for r in secret_scan.scanned(frame).collect():
+        found[int(names[r.doc_id][0])].add(re.sub("[^a-z,]", "", r.spans))
+    assert found == {0: {"assign,live"}, 1: {"assign,example"}, 2: {"assign"}, 3: {"assign,example"}, 4: {"assign,example"}, 5: {"assign,live"}}
+
+
+def test_row_keys_tell_rows_apart(spark):
+    """128 bits; nulls, empty values and shifted borders are different rows."""
+    rows = [(None, None), (None, ""), (None, "-"), (1, None), (1, ""), (1, "1"), (11, ""), (1, "1:1"), (1, "11:1")]
+    keys = spark.createDataFrame(rows, "doc_id long, text string").select(row_key().alias("key")).collect()
+    assert len({bytes(r.key) for r in keys}) == len(rows) and {len(r.key) for r in keys} == {16}
+
+
 def test_secrets(documents, spark, run):
     rows = [*SECRETS, *[(d, t, "h") for d, t in HARD if d not in {r[0] for r in SECRETS}], SECRETS[0]]
     got = secret_scan.scanned(documents(rows)).collect()
