@@ -25,3 +25,19 @@ def exact_round(value: Column, digits: int) -> Column:
     tie = (below * 2 + 1).cast("decimal(12,0)") * F.lit(one).cast("decimal(19,0)")
     up = (exact > tie) | ((exact == tie) & (below % 2 == 1))
     return (below + F.when(up, 1).otherwise(0)).cast("double") / float(scale)
+
+
+def printed(value: Column, digits: int) -> Column:
+    """The number as C's ``%.nf`` prints it: rounded by its exact binary value, ties to even.
+
+    ``format_string`` rounds the shortest decimal text half-up instead: 119.55, a little less in
+    binary, reads 119.6 there and 119.5 here. Beyond 2^63 a double has no fraction to round.
+    """
+    size = F.abs(value)
+    whole = F.floor(size)
+    rounded = exact_round(size - whole, digits).cast(f"decimal(20,{digits})")
+    text = (whole.cast("decimal(20,0)") + rounded).cast(f"decimal(22,{digits})").cast("string")
+    sign = F.when(value < 0, "-").otherwise("")
+    return F.when(size < float(2**63), F.concat(sign, text)).otherwise(
+        F.format_string(f"%.{digits}f", value)
+    )

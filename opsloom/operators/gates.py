@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opsloom.functions.numeric import printed
+
 MIN_AVAILABILITY = 99.0
 MAX_MTTR_MINUTES = 60.0
 
@@ -20,7 +22,10 @@ def _column_or(df: DataFrame, name: str, default: float) -> Column:
 def availability_violations(sla: DataFrame, minimum: float = MIN_AVAILABILITY) -> DataFrame:
     value = _column_or(sla, "availability_sla", 100.0)
     text = F.format_string(
-        "Availability SLA Breach on '%s': %.2f%% < %.2f%%", "service_name", value, F.lit(minimum)
+        "Availability SLA Breach on '%s': %s%% < %s%%",
+        "service_name",
+        printed(value, 2),
+        printed(F.lit(float(minimum)), 2),
     )
     return sla.where(value < minimum).select("service_name", text.alias("violation"))
 
@@ -28,7 +33,10 @@ def availability_violations(sla: DataFrame, minimum: float = MIN_AVAILABILITY) -
 def mttr_violations(mart: DataFrame, maximum: float = MAX_MTTR_MINUTES) -> DataFrame:
     value = _column_or(mart, "mttr_minutes", 0.0)
     text = F.format_string(
-        "MTTR SLA Breach on '%s': %.1fm > %.1fm", "service_name", value, F.lit(maximum)
+        "MTTR SLA Breach on '%s': %sm > %sm",
+        "service_name",
+        printed(value, 1),
+        printed(F.lit(float(maximum)), 1),
     )
     return mart.where(value > maximum).select("service_name", text.alias("violation"))
 

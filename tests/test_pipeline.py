@@ -265,6 +265,17 @@ def test_gates(spark):
     assert gates.sla_gate(no_column, no_column).first()["status"] == "PASSED"
 
 
+def test_gate_texts_round_by_binary_value(spark):
+    values = [119.55, 60.25, 60.75, 119.95, 60.05, 1234567.35, 61.0, 2.0**60]
+    mart = spark.createDataFrame([(str(v), v) for v in values], "service_name string, mttr_minutes double")
+    got = {r.service_name: r.violation for r in gates.mttr_violations(mart).collect()}
+    assert got == {str(v): f"MTTR SLA Breach on '{v}': {v:.1f}m > 60.0m" for v in values}
+    shares = [79.125, 0.0, 98.995, 98.9949, 0.005, 1e-12, 80.375, -0.001]
+    sla = spark.createDataFrame([(str(v), v) for v in shares], "service_name string, availability_sla double")
+    got = {r.service_name: r.violation for r in gates.availability_violations(sla).collect()}
+    assert got == {str(v): f"Availability SLA Breach on '{v}': {v:.2f}% < 99.00%" for v in shares}
+
+
 def test_daily_run(spark, tmp_path):
     events = scan_telemetry(spark)
     assert events.count() == 2
