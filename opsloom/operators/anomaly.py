@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from opsloom.functions.numeric import tidy
-from opsloom.plans.durable import durable
+from opsloom.plans.durable import stored
 from opsloom.plans.joins import match
 from opsloom.plans.ranking import arrival_rank
 from opsloom.plans.sizing import fits_one_task, small_side
@@ -292,7 +292,8 @@ def frozen_starts(folds: DataFrame, changed: DataFrame) -> DataFrame:
     first = changed.groupBy("service_name").agg(
         F.min("_chunk").alias("_first"), F.min_by("state", "_chunk").alias("state")
     )
-    first = small_side(durable(first.withColumn("_frame", _frame("state"))).where("_frame is not null"))
+    first = stored(first.withColumn("_frame", _frame("state")), "first-changed")
+    first = small_side(first.where("_frame is not null"))
     scores = [
         (F.col(m) - F.col("_frame")[i]) / F.col("_frame")[i + len(METRICS)] for i, m in enumerate(METRICS)
     ]
@@ -353,8 +354,10 @@ def rolling_ingest(
         return shown(whole)
 
     ranked = arrival_rank(base, ["service_name"], "seq", "_pos", split=True)
-    folds = durable(
-        ranked.withColumn("_chunk", F.floor((F.col("_pos") - 1) / F.lit(fold_rows))).drop("_pos")
+    # Every round builds on the one before it: written tables, because the estimates and constraints
+    # that a checkpoint keeps would grow until planning takes longer than the work.
+    folds = stored(
+        ranked.withColumn("_chunk", F.floor((F.col("_pos") - 1) / F.lit(fold_rows))).drop("_pos"), "folds"
     )
     keys = ["service_name", "_chunk"]
 
@@ -377,24 +380,25 @@ def rolling_ingest(
 
     none = events.sparkSession.createDataFrame([], STATE_SCHEMA)
     used = none
-    ends = durable(run(folds, none))
+    ends = stored(run(folds, none), "fold-ends")
     while True:
         starts = following(ends)
         before = used.withColumnRenamed("state", "_used")
-        changed = durable(
+        changed = stored(
             match(match(starts, before, keys, "left"), folds.select(*keys).distinct(), keys, "left_semi")
             .where(~F.col("state").eqNullSafe(F.col("_used")))
-            .select(*keys, "state")
+            .select(*keys, "state"),
+            "fold-changes",
         )
         if changed.isEmpty():
             break
-        frozen = durable(frozen_starts(folds, changed))
+        frozen = stored(frozen_starts(folds, changed), "fold-frozen")
         rest = match(changed, frozen.select(*keys), keys, "left_anti")
         todo = rest.unionByName(frozen)
         again = run(match(folds, todo.select(*keys), keys, "left_semi"), todo)
         kept = match(ends, todo.select(*keys), keys, "left_anti")
         used = match(starts, frozen.select(*keys), keys, "left_anti").unionByName(frozen)
-        ends = durable(kept.unionByName(again))
+        ends = stored(kept.unionByName(again), "fold-ends")
     result = folds.groupBy(*keys).cogroup(starts.groupBy(*keys)).applyInPandas(scored, schema)
     return shown(result)
 

@@ -1,10 +1,13 @@
 """Anomaly detectors: golden sequences, split forms, forest properties, stream equals batch."""
 
+import random
+
 import pytest
 from tests.conftest import rows
 from pyspark.sql import functions as F
 
 from opsloom.operators import anomaly, httpmetrics, iforest
+from opsloom.plans.sizing import planned_bytes
 from opsloom.streaming.decisions import accepted_decisions
 from opsloom.streaming.http import request_rate_stream
 from opsloom.streaming.telemetry import rolling_ingest_stream, route_payloads, sla_windows
@@ -264,3 +267,24 @@ def test_alert_rules_hold_as_long_as_they_say(spark):
         assert long["firing_from"] - long["started"] == hold * httpmetrics.MINUTE
     (short,) = httpmetrics.latency_rule(log(4)).collect()
     assert short["state"] == "pending" and short["firing_from"] is None
+
+
+def test_rounds_of_short_folds_do_not_grow_their_plans(spark, monkeypatch):
+    draw = random.Random(5)
+    rows = [("hot", i, 50 + draw.gauss(0, 1), 40 + draw.gauss(0, 1), 20 + draw.gauss(0, 1)) for i in range(900)]
+    events = spark.createDataFrame(
+        rows, "service_name string, seq long, cpu_percent double, memory_percent double, latency_ms double"
+    )
+    sizes = []
+    looked = anomaly.frozen_starts
+
+    def spy(folds, changed):
+        sizes.append(planned_bytes(changed))
+        return looked(folds, changed)
+
+    monkeypatch.setattr(anomaly, "frozen_starts", spy)
+    got = anomaly.rolling_ingest(events, split=True, fold_rows=150).collect()
+    want = anomaly.rolling_ingest(events, split=False).collect()
+    assert sorted(got, key=lambda r: r.seq) == sorted(want, key=lambda r: r.seq)
+    # Each holds at most six windows of 500 events; an estimate that grows with the rounds does not end.
+    assert len(sizes) > 2 and max(sizes) < 6 * 500 * 3 * 8 * 2
