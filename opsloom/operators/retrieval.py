@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from opsloom.functions.barrier import evaluated_once
 from opsloom.functions.text import tokens
-from opsloom.plans.durable import durable
-from opsloom.plans.sizing import fits_one_task, small_side
+from opsloom.plans.durable import durable, stored
+from opsloom.plans.sizing import fits_one_task, planned_bytes, small_side
 
 # BM25+ constants, the rank constant of the fusion and the answer texts.
 K1 = 1.5
@@ -42,6 +42,12 @@ SLICE_DOCS = 128
 SPREAD = 16
 # Postings of rare words that are read, for each document asked for, to bound the k-th best score.
 LEAD_POSTINGS = 200
+# Scanned bytes of a corpus whose words one task counts.
+COUNT_BYTES = 16 * 1024 * 1024
+# Estimates from here on mean that Spark does not know.
+UNKNOWN_BYTES = 1 << 50
+# Meetings of a query's word and a document that one task adds up.
+MEETINGS = 2_000_000
 # Bounds are compared with more room than rounding takes.
 SLACK = 1e-8
 # Scores closer than this are the same score; order of summation must not rank documents.
@@ -90,7 +96,18 @@ class CorpusIndex:
         return Postings(rows, term_table(rows), totals.select("n").scalar(), totals.select("mean").scalar())
 
 
+def spread_texts(docs: DataFrame, text: str) -> DataFrame:
+    """Texts in tasks of bounded size: counting a scan split's words takes many times the split's bytes."""
+    size = planned_bytes(docs)
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    if size is None or size <= cores * COUNT_BYTES or size >= UNKNOWN_BYTES:
+        return docs
+    # By the text: rows that share an id, or have none, are spread as well.
+    return docs.repartition(-(-size // COUNT_BYTES), text, *[c for c in docs.columns if c != text])
+
+
 def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> CorpusIndex:
+    docs = spread_texts(docs.select(doc_id, text), text)
     words = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("_tokens"))
     return CorpusIndex(
         words.select(
@@ -208,6 +225,17 @@ def weighted(words: DataFrame, terms: DataFrame, n_docs: Column) -> DataFrame:
     return known.withColumn("weight", F.col("qtf") * F.log((n_docs + 1) / F.col("doc_freq")))
 
 
+def together(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """Postings with all words of a document in one task, so that pairs are added up where they arise.
+
+    Pairs outnumber postings by far: they are not shuffled. The number of tasks follows
+    the meetings that the join will make, so what one task holds does not grow with the corpus.
+    """
+    meetings = asked.agg(F.coalesce(F.sum("doc_freq"), F.lit(0)).alias("n")).first()["n"]
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-meetings // MEETINGS))
+    return rows.repartition(tasks, "doc_id")
+
+
 def match_scores(queries: DataFrame, index: CorpusIndex | StoredIndex) -> DataFrame:
     """BM25+ and overlap score of every (query, document) pair that shares a term.
 
@@ -217,11 +245,12 @@ def match_scores(queries: DataFrame, index: CorpusIndex | StoredIndex) -> DataFr
     """
     words = query_terms(queries)
     found = index.postings(small_side(words.select("term").distinct()))
-    asked = small_side(weighted(words, found.terms.select("term", "doc_freq"), found.n_docs))
+    asked = small_side(durable(weighted(words, found.terms.select("term", "doc_freq"), found.n_docs)))
     floor = asked.groupBy("query_id").agg((F.sum("weight") * DELTA).alias("floor"))
     part = F.col("weight") * bm25_part(F.col("doc_len"), F.col("tf"), F.col("mean_len"))
     pairs = (
-        found.rows.withColumn("mean_len", found.mean_len)
+        together(found.rows, asked)
+        .withColumn("mean_len", found.mean_len)
         .join(asked.select("query_id", "query_terms", "term", "weight"), "term")
         .groupBy("query_id", "doc_id")
         .agg(
@@ -355,16 +384,19 @@ def rrf_search(
     in the other list is not known yet are compared with all pairs: the number of pairs ahead
     is the rank.
     """
-    scored = durable(match_scores(queries, index))
+    scored = stored(match_scores(queries, index), "pairs")
     depth = rrf_k + 2 * k
     lists = {"bm25": "sparse_rank", "overlap": "dense_rank"}
-    first = [
-        scored.withColumn(rank, F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(by), "doc_id")))
-        .where(F.col(rank) <= depth)
-        .withColumn(other, F.lit(None).cast("int"))
-        for (by, rank), other in zip(lists.items(), reversed(lists.values()), strict=True)
-    ]
-    both = first[0].unionByName(first[1]).groupBy("query_id", "doc_id", *lists).agg(*[F.max(r).alias(r) for r in lists.values()])
+    # Both lists in one pass over the pairs.
+    entries = F.array(*[F.struct(F.lit(rank).alias("list"), F.col(by).alias("by")) for by, rank in lists.items()])
+    best = W.partitionBy("query_id", "list").orderBy(F.desc("by"), "doc_id")
+    first = (
+        scored.select("query_id", "doc_id", *lists, F.inline(entries))
+        .withColumn("rank", F.row_number().over(best))
+        .where(F.col("rank") <= depth)
+    )
+    ranks = [F.max(F.when(F.col("list") == r, F.col("rank"))).alias(r) for r in lists.values()]
+    both = durable(first.groupBy("query_id", "doc_id", *lists).agg(*ranks))
     share = lambda rank: 1.0 / (rrf_k + rank)
     least = sum((F.coalesce(share(F.col(r)), F.lit(0.0)) for r in lists.values()), F.lit(0.0))
     most = sum((share(F.coalesce(r, F.lit(depth + 1))) for r in lists.values()), F.lit(0.0))

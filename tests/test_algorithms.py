@@ -71,6 +71,24 @@ def test_tokens_are_cut_once(corpus):
     assert "text#" not in plan
 
 
+def test_pairs_are_added_up_where_they_arise(corpus):
+    """Query-document pairs outnumber all else: only postings are shuffled, by document."""
+    docs, queries = corpus
+    plan = retrieval.match_scores(queries, retrieval.build_index(docs))._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(doc_id#\d+L?, \d+\)", plan)
+    assert not re.search(r"hashpartitioning\(query_id#\d+L?, doc_id", plan)
+
+
+def test_texts_are_counted_in_tasks_of_bounded_size(views, monkeypatch):
+    queries = views.benchmark.selectExpr("item_id as query_id", "text as query")
+    want = rows(retrieval.bm25_search(queries, retrieval.build_index(views.documents)), "query_id", "rank")
+    monkeypatch.setattr(retrieval, "COUNT_BYTES", 4096)
+    monkeypatch.setattr(retrieval, "MEETINGS", 500)
+    index = retrieval.build_index(views.documents)
+    assert index.words.rdd.getNumPartitions() > 8
+    assert rows(retrieval.bm25_search(queries, index), "query_id", "rank") == want
+
+
 def brute_fusion(spark, scored, k):
     out = []
     pairs = defaultdict(list)
