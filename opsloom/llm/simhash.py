@@ -44,10 +44,19 @@ def simhash(text: str | None, words: int = SHINGLE_WORDS) -> int:
     counts = np.zeros(64, np.int64)
     for at in range(0, len(starts), BLOCK):
         block = zip(starts[at : at + BLOCK].tolist(), ends[at : at + BLOCK].tolist(), strict=True)
-        hashes = np.array([hashed(joined[a:b], SEED) for a, b in block], np.uint64)
-        bits = np.unpackbits(hashes.byteswap().view(np.uint8).reshape(-1, 8), axis=1)
-        counts += bits.sum(axis=0, dtype=np.int32)
-    return int.from_bytes(np.packbits(counts * 2 > len(starts)).tobytes(), "big")
+        counts += bit_counts(np.array([hashed(joined[a:b], SEED) for a, b in block], np.uint64))
+    return fingerprint(counts, len(starts))
+
+
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the 64-bit ``hashes`` have each bit set, the highest bit first."""
+    bits = np.unpackbits(hashes.byteswap().view(np.uint8).reshape(-1, 8), axis=1)
+    return bits.sum(axis=0, dtype=np.int32)
+
+
+def fingerprint(counts: np.ndarray, n: int) -> int:
+    """The unsigned fingerprint of ``n`` hashes: the bits that over half of them have."""
+    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
 @F.pandas_udf(LongType())

@@ -3,9 +3,12 @@
 import random
 
 import pytest
+import xxhash
 
 import corpus_pipeline
 from opsloom.llm import near_copies
+from opsloom.llm.components import star_forest
+from opsloom.llm.simhash import SEED
 from tests.llm.conftest import HARD, SMALL
 
 
@@ -67,3 +70,48 @@ def test_the_stage_takes_five_words_and_similarity(spark):
 
 def test_near_copies_of_nothing(documents):
     assert near_copies.kept_documents(documents([])).count() == 0
+
+
+def brute_print(text):
+    hashes = [xxhash.xxh64_intdigest(x, SEED) for x in brute_shingles(text)]
+    return sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash_links_texts_within_two_bits(documents, monkeypatch):
+    rows = [(i, r[1]) for i, r in enumerate(near_rows())]
+    texts = documents(rows).selectExpr("doc_id as key", "text").cache()
+    linked = []
+    plain = near_copies.print_pairs
+    monkeypatch.setattr(near_copies, "print_pairs", lambda firsts: linked.append(plain(firsts)) or linked[0])
+    near_copies.near_edges(texts).collect()
+    prints = [brute_print(t) for _, t in rows]
+    want = list(range(len(rows)))
+    for i, a in enumerate(prints):
+        for j, b in enumerate(prints[:i]):
+            if (a ^ b).bit_count() <= 2 and want[i] != want[j]:
+                old, new = max(want[i], want[j]), min(want[i], want[j])
+                want = [new if w == old else w for w in want]
+    assert len(set(want)) < len(rows)
+    roots = {r.node: r.root for r in star_forest(linked[0]).collect()}
+    assert [roots.get(i, i) for i in range(len(rows))] == want
+
+
+@pytest.mark.parametrize("edits", [5, 12])
+def test_copies_with_different_edits_make_few_comparisons(documents, monkeypatch, edits):
+    draw = random.Random(7)
+    words = [f"w{i}" for i in range(3000)]
+    base = [draw.choice(words) for _ in range(140)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 240):
+        copy = list(base)
+        for _ in range(draw.randrange(edits)):
+            copy[draw.randrange(len(copy))] = draw.choice(words)
+        rows.append((i, " ".join(copy)))
+    compared = []
+    plain = near_copies.verified
+    monkeypatch.setattr(
+        near_copies, "verified", lambda pairs, texts: compared.append(pairs.count()) or plain(pairs, texts)
+    )
+    got = near_copies.kept_documents(documents(rows))
+    assert sorted((r.doc_id for r in got.collect()), key=str) == brute_kept(rows)
+    assert sum(compared) < 3 * len(rows)
