@@ -36,10 +36,9 @@ CHUNK_SIZE = 400
 CHUNK_OVERLAP = 50
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 
-# Term buckets of a stored index, documents of a slice, and tasks that one bucket's blocks are spread over.
+# Term buckets of a stored index, and documents of a slice.
 BUCKETS = 64
 SLICE_DOCS = 128
-SPREAD = 16
 # Postings of rare words that are read, for each document asked for, to bound the k-th best score.
 LEAD_POSTINGS = 200
 # Scanned bytes of a corpus whose words one task counts.
@@ -134,15 +133,24 @@ def term_bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def index_tasks(words: DataFrame) -> int:
+    """Tasks that put an index together: each holds the words of about ``COUNT_BYTES`` of stored tokens."""
+    size = planned_bytes(words)
+    cores = words.sparkSession.sparkContext.defaultParallelism
+    return cores if size is None or size >= UNKNOWN_BYTES else max(cores, -(-size // COUNT_BYTES))
+
+
 def write_index(index: CorpusIndex, path: str, slice_docs: int = SLICE_DOCS) -> None:
     """Stores blocks and terms in folders of term buckets, documents, and the totals.
 
     A slice is a share of the documents by hash, of about ``slice_docs``, so no block grows
     with the corpus, and a word of a third of all documents lies in many files of its bucket.
     """
-    counted = index.counted()
-    spark = counted.sparkSession
-    documents = counted.where("term is null").select("doc_id", "doc_len", "doc_terms", "tf")
+    # Tokens are cut once; then each task gets whole slices, so that words are counted and blocks
+    # are put together where the texts are, without a shuffle of the postings.
+    words = stored(index.words, "words")
+    spark = words.sparkSession
+    documents = words.groupBy("doc_id", "doc_len", "doc_terms").agg(F.count(F.lit(1)).alias("tf"))
     documents.write.mode("overwrite").parquet(f"{path}/documents")
     totals = spark.read.parquet(f"{path}/documents").agg(
         F.coalesce(F.sum("tf"), F.lit(0)).alias("n_docs"),
@@ -151,27 +159,36 @@ def write_index(index: CorpusIndex, path: str, slice_docs: int = SLICE_DOCS) ->
     totals.coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
     known = spark.read.parquet(f"{path}/totals").first()
     slices = max(1, -(-known["n_docs"] // slice_docs))
-    rows = counted.where("term is not null").select(
-        term_bucket(F.col("term")).alias("bucket"),
+    dealt = words.withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(slices))).repartition(index_tasks(words), "slice")
+    counted = (
+        dealt.select("slice", "doc_id", "doc_len", "doc_terms", F.explode_outer("_tokens").alias("term"))
+        .where("term is not null")
+        .groupBy("slice", "doc_id", "doc_len", "doc_terms", "term")
+        .agg(F.count(F.lit(1)).alias("tf"))
+    )
+    rows = counted.select(
+        "slice",
         "term",
-        F.pmod(F.xxhash64("doc_id"), F.lit(slices)).alias("slice"),
+        "tf",
         F.struct("doc_id", "doc_len", "doc_terms", "tf").alias("posting"),
         bm25_part(F.col("doc_len"), F.col("tf"), F.lit(known["mean_len"])).alias("part"),
     )
-    blocks = rows.groupBy("bucket", "term", "slice").agg(
-        F.max("part").alias("max_part"), F.collect_list("posting").alias("postings")
+    blocks = rows.groupBy("slice", "term").agg(
+        F.max("part").alias("max_part"),
+        F.count(F.lit(1)).alias("doc_freq"),
+        F.sum("tf").alias("total_tf"),
+        F.collect_list("posting").alias("postings"),
     )
     (
-        blocks.repartition("bucket", F.col("slice") % SPREAD)
+        blocks.withColumn("bucket", term_bucket(F.col("term")))
         .sortWithinPartitions("bucket", "term", "slice")
         .write.mode("overwrite")
         .partitionBy("bucket")
         .parquet(f"{path}/blocks")
     )
-    stored = spark.read.parquet(f"{path}/blocks")
-    tf = F.aggregate("postings", F.lit(0).cast("long"), lambda n, p: n + p["tf"])
-    terms = stored.groupBy("bucket", "term").agg(
-        F.sum(F.size("postings")).alias("doc_freq"), F.sum(tf).alias("total_tf"), F.max("max_part").alias("max_part")
+    # The blocks' own counts: their postings are not read again.
+    terms = spark.read.parquet(f"{path}/blocks").groupBy("bucket", "term").agg(
+        F.sum("doc_freq").alias("doc_freq"), F.sum("total_tf").alias("total_tf"), F.max("max_part").alias("max_part")
     )
     terms.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(
         f"{path}/terms"
@@ -202,6 +219,7 @@ class StoredIndex:
 
 def read_index(spark: SparkSession, path: str) -> StoredIndex:
     blocks, terms, documents = (spark.read.parquet(f"{path}/{name}") for name in ("blocks", "terms", "documents"))
+    blocks = blocks.drop("doc_freq", "total_tf")
     totals = spark.read.parquet(f"{path}/totals").first()
     return StoredIndex(blocks, terms, documents.drop("tf"), totals["n_docs"], totals["mean_len"])
 

@@ -51,6 +51,14 @@ def test_block_max_search_equals_the_full_one(corpus, stored):
     assert {r["query_id"] for r in want} == {*range(12), 14}
 
 
+def test_index_slices_are_put_together_by_one_task_each(stored):
+    part = F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1)
+    blocks = stored.blocks.select("slice", "bucket", part.alias("task"))
+    tasks = blocks.groupBy("slice").agg(F.count_distinct("task").alias("tasks"), F.count_distinct("bucket").alias("n"))
+    assert {r.tasks for r in tasks.collect()} == {1} and tasks.where("n > 16").count()
+    assert stored.blocks.groupBy("term", "slice").count().where("count > 1").isEmpty()
+
+
 def test_block_max_search_skips_slices_and_buckets(corpus, stored):
     queries = corpus[1].where("query_id < 12")
     asked, blocks = retrieval.asked_blocks(queries, stored)
