@@ -115,3 +115,44 @@ def test_copies_with_different_edits_make_few_comparisons(documents, monkeypatch
     got = near_copies.kept_documents(documents(rows))
     assert sorted((r.doc_id for r in got.collect()), key=str) == brute_kept(rows)
     assert sum(compared) < 3 * len(rows)
+
+
+def edited_copies(n, most, kept_base):
+    """Texts that stand near one base with up to ``most`` edits of 150 words; the base itself only if asked for."""
+    draw = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    base = [draw.choice(words) for _ in range(150)]
+    rows = [(0, " ".join(base))] if kept_base else []
+    for i in range(1, n):
+        copy = list(base)
+        for _ in range(draw.randrange(1, most + 1)):
+            copy[draw.randrange(len(copy))] = draw.choice(words)
+        rows.append((i, " ".join(copy)))
+    return rows
+
+
+def test_copies_without_their_base_make_few_comparisons(documents, monkeypatch):
+    # Each pivot has edits of its own, so all others share differences from it; many are no copies of each other.
+    rows = edited_copies(500, 6, kept_base=False)
+    compared = []
+    plain = near_copies.verified
+    monkeypatch.setattr(
+        near_copies, "verified", lambda pairs, texts: compared.append(pairs.count()) or plain(pairs, texts)
+    )
+    got = near_copies.kept_documents(documents(rows))
+    assert sorted((r.doc_id for r in got.collect()), key=str) == brute_kept(rows)
+    assert sum(compared) < 2 * len(rows)
+
+
+def test_sketches_differ_in_no_more_cells_than_texts_in_shingles(documents):
+    rows = edited_copies(40, 12, kept_base=True) + list(HARD)
+    texts = [near_copies.shingles(t) for _, t in rows]
+    cells = [sum(int(x) % 2**64 << 64 * i for i, x in enumerate(near_copies.text_sketch(t))) for t in texts]
+    for a, x in zip(texts, cells, strict=True):
+        for b, y in zip(texts, cells, strict=True):
+            assert (x ^ y).bit_count() <= len(set(a.tolist()) ^ set(b.tolist()))
+    asked = documents(rows).sparkSession.createDataFrame(
+        [([int(v) for v in near_copies.text_sketch(t)],) for t in texts], "a_sketch array<long>"
+    ).selectExpr("a_sketch", "transform(a_sketch, x -> 0L) as b_sketch")
+    got = [r.n for r in asked.select(near_copies.sketch_distance().alias("n")).collect()]
+    assert got == [c.bit_count() for c in cells]
