@@ -156,3 +156,11 @@ def test_sketches_differ_in_no_more_cells_than_texts_in_shingles(documents):
     ).selectExpr("a_sketch", "transform(a_sketch, x -> 0L) as b_sketch")
     got = [r.n for r in asked.select(near_copies.sketch_distance().alias("n")).collect()]
     assert got == [c.bit_count() for c in cells]
+
+
+def test_kept_documents_shuffles_no_text_to_drop_rows(spark, documents):
+    rows = [(i, r[1]) for i, r in enumerate(near_rows())]
+    kept = near_copies.kept_documents(documents(rows))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and kept.columns == documents(rows).columns
+    assert 0 < kept.count() < len(rows)

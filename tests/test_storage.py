@@ -123,3 +123,26 @@ def test_stored_sketches_roll_up_within_their_bound(spark, tmp_path, views):
     )
     (row,) = sla.rolled_up(sla.sla_sketches(silent)).collect()
     assert row.total_requests == 1 and row.latency_p50_ms is None and row.avg_memory_percent is None
+
+
+def test_a_written_step_leaves_no_shuffle_files(spark):
+    """Files of a step's shuffles go at its end, not when the driver happens to collect garbage."""
+    import time
+
+    from opsloom.plans.durable import FREE_SHUFFLES, stored
+
+    blocks = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def shuffles():
+        found = blocks.getAllFiles().mkString("\n").split("\n")
+        return {f for f in found if "shuffle_" in f}
+
+    rows = spark.range(20_000).selectExpr("id % 1000 as k", "id")
+    before = shuffles()
+    got = stored(rows.repartition(5, "k").groupBy("k").count(), "step")
+    end = time.time() + 20
+    while shuffles() - before and time.time() < end:
+        time.sleep(0.1)
+    assert not shuffles() - before
+    assert got.count() == 1000 and got.agg({"count": "sum"}).first()[0] == 20_000
+    assert spark.conf.get(FREE_SHUFFLES, "false") == "false"
