@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from opsloom.functions.barrier import evaluated_once
 from opsloom.functions.text import tokens
-from opsloom.plans.durable import durable, stored
+from opsloom.plans.durable import durable, shuffles_freed, stored
 from opsloom.plans.sizing import fits_one_task, planned_bytes, small_side
 
 # BM25+ constants, the rank constant of the fusion and the answer texts.
@@ -146,9 +146,10 @@ def write_index(index: CorpusIndex, path: str, slice_docs: int = SLICE_DOCS) ->
     A slice is a share of the documents by hash, of about ``slice_docs``, so no block grows
     with the corpus, and a word of a third of all documents lies in many files of its bucket.
     """
-    # Tokens are cut once; then each task gets whole slices, so that words are counted and blocks
+    # Tokens are cut once and kept as one text, a third of an array's size in a shuffle; then each task gets whole slices, so that words are counted and blocks
     # are put together where the texts are, without a shuffle of the postings.
-    words = stored(index.words, "words")
+    words = index.words.withColumn("_tokens", F.array_join("_tokens", " "))
+    words = stored(words, "words", "zstd")
     spark = words.sparkSession
     documents = words.groupBy("doc_id", "doc_len", "doc_terms").agg(F.count(F.lit(1)).alias("tf"))
     documents.write.mode("overwrite").parquet(f"{path}/documents")
@@ -161,8 +162,8 @@ def write_index(index: CorpusIndex, path: str, slice_docs: int = SLICE_DOCS) ->
     slices = max(1, -(-known["n_docs"] // slice_docs))
     dealt = words.withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(slices))).repartition(index_tasks(words), "slice")
     counted = (
-        dealt.select("slice", "doc_id", "doc_len", "doc_terms", F.explode_outer("_tokens").alias("term"))
-        .where("term is not null")
+        dealt.select("slice", "doc_id", "doc_len", "doc_terms", F.explode_outer(F.split("_tokens", " ")).alias("term"))
+        .where("term <> ''")
         .groupBy("slice", "doc_id", "doc_len", "doc_terms", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -179,20 +180,16 @@ def write_index(index: CorpusIndex, path: str, slice_docs: int = SLICE_DOCS) ->
         F.sum("tf").alias("total_tf"),
         F.collect_list("posting").alias("postings"),
     )
-    (
-        blocks.withColumn("bucket", term_bucket(F.col("term")))
-        .sortWithinPartitions("bucket", "term", "slice")
-        .write.mode("overwrite")
-        .partitionBy("bucket")
-        .parquet(f"{path}/blocks")
-    )
+    blocks = blocks.withColumn("bucket", term_bucket(F.col("term"))).sortWithinPartitions("bucket", "term", "slice")
+    with shuffles_freed(spark):
+        blocks.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks", compression="zstd")
     # The blocks' own counts: their postings are not read again.
     terms = spark.read.parquet(f"{path}/blocks").groupBy("bucket", "term").agg(
         F.sum("doc_freq").alias("doc_freq"), F.sum("total_tf").alias("total_tf"), F.max("max_part").alias("max_part")
     )
-    terms.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(
-        f"{path}/terms"
-    )
+    terms = terms.repartition("bucket").sortWithinPartitions("bucket", "term")
+    with shuffles_freed(spark):
+        terms.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
 
 
 @dataclass
@@ -307,10 +304,14 @@ def block_max_search(queries: DataFrame, index: StoredIndex, k: int) -> DataFram
     asked, blocks = asked_blocks(queries, index)
     floor = asked.groupBy("query_id").agg((F.sum("weight") * DELTA).alias("floor"))
     open_ = open_slices(asked, blocks, index.mean_len, k)
-    wanted = open_.join(asked.select("query_id", "term", "weight"), "query_id")
+    # Whole slices to tasks: pairs outnumber the postings by far, and are added up where they arise.
+    tasks = max(blocks.sparkSession.sparkContext.defaultParallelism, -(-(planned_bytes(index.blocks) or 0) // COUNT_BYTES))
+    at = open_.groupBy("slice").agg(F.collect_set("query_id").alias("_open")).repartition(tasks, "slice")
+    dealt = blocks.select("slice", "term", "postings").repartition(tasks, "slice").join(at.hint("shuffle_hash"), "slice")
+    wanted = dealt.join(asked.select("query_id", "term", "weight"), "term").where("array_contains(_open, query_id)")
     scored = (
-        posting_parts(blocks.join(wanted, ["term", "slice"]), index.mean_len)
-        .groupBy("query_id", "doc_id")
+        posting_parts(wanted, index.mean_len, "slice")
+        .groupBy("slice", "query_id", "doc_id")
         .agg(F.sum("part").alias("matched"))
         .join(F.broadcast(floor) if fits_one_task(floor) else floor, "query_id")
         .select("query_id", "doc_id", F.round(F.col("matched") + F.col("floor"), SCORE_DIGITS).alias("bm25"))
@@ -326,11 +327,11 @@ def asked_blocks(queries: DataFrame, index: StoredIndex) -> tuple[DataFrame, Dat
     return small_side(durable(known)), blocks
 
 
-def posting_parts(blocks: DataFrame, mean_len: float) -> DataFrame:
-    """query_id, doc_id, part of every posting of blocks that carry a query's weight."""
+def posting_parts(blocks: DataFrame, mean_len: float, *others: str) -> DataFrame:
+    """query_id, doc_id, part of every posting of blocks that carry a query's weight, and ``others``."""
     part = F.col("weight") * bm25_part(F.col("p.doc_len"), F.col("p.tf"), F.lit(mean_len))
-    return blocks.select("query_id", "weight", F.explode("postings").alias("p")).select(
-        "query_id", "p.doc_id", part.alias("part")
+    return blocks.select(*others, "query_id", "weight", F.explode("postings").alias("p")).select(
+        *others, "query_id", "p.doc_id", part.alias("part")
     )
 
 
@@ -360,7 +361,7 @@ def open_slices(asked: DataFrame, blocks: DataFrame, mean_len: float, k: int) ->
         .agg(F.sum(F.col("weight") * F.col("max_part")).alias("most"))
     )
     kept = greatest.join(least, "query_id", "left").where("least is null or most >= least")
-    return durable(kept.select("query_id", "slice"))
+    return stored(kept.select("query_id", "slice"), "open-slices")
 
 
 def overlap_search(queries: DataFrame, index: CorpusIndex, k: int = 5) -> DataFrame:

@@ -87,6 +87,14 @@ def test_pairs_are_added_up_where_they_arise(corpus):
     assert not re.search(r"hashpartitioning\(query_id#\d+L?, doc_id", plan)
 
 
+def test_stored_search_adds_pairs_up_by_slice(corpus, stored):
+    """A search in a stored index shuffles blocks by slice, and no query-document pairs."""
+    _, queries = corpus
+    plan = retrieval.bm25_search(queries, stored, 5)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(slice#\d+L?, \d+\)", plan)
+    assert not re.search(r"hashpartitioning\(query_id#\d+L?, doc_id|hashpartitioning\(term#\d+, slice", plan)
+
+
 def test_texts_are_counted_in_tasks_of_bounded_size(views, monkeypatch):
     queries = views.benchmark.selectExpr("item_id as query_id", "text as query")
     want = rows(retrieval.bm25_search(queries, retrieval.build_index(views.documents)), "query_id", "rank")
