@@ -29,9 +29,19 @@ WINDOW_EVENTS = 500
 # events per fold beyond that.
 FOLD_BYTES = 16 * 1024 * 1024
 FOLD_ROWS = 200_000
-# Events scored at once while none of them is anomalous.
+# Folds from which on they are made longer than asked for, up to ``FOLD_ROWS``: each costs a window
+# of its own, written in every round, and one shorter than the window never forgets its start.
+MOST_FOLDS = 1024
+# Events looked at between two sums of a whole window, and events scored at once while none is anomalous.
+RESUMMED = 1024
 SHORTEST_BLOCK = 32
 LONGEST_BLOCK = 512
+# Events scored at once against their windows.
+SCORED_BLOCK = 64
+# Running sums decide unless a score is this near the threshold, or a variance below this share
+# of the greatest square: both are many times what rounding takes.
+UNSURE_SCORE = 0.02
+UNSURE_SPREAD = 1e-6
 # Events per block of the feedback-free variant.
 BLOCK_ROWS = 500_000
 
@@ -183,57 +193,121 @@ def fold_events(window: RollingWindow, values: np.ndarray, warmup: int = WARMUP_
     return [next(scored) if ok else REJECTED for ok in usable]
 
 
-def fold_finite(window: RollingWindow, values: np.ndarray, warmup: int) -> list[tuple]:
-    """The same for rows of finite metrics.
+def fold_finite(window: RollingWindow, values: np.ndarray, warmup: int, scores: bool = True) -> list[tuple]:
+    """The same for rows of finite metrics; without ``scores`` only the window is updated.
 
-    Once the window is full, a block of events is scored as if all of them were accepted.
-    Up to and including the first anomaly that is what happens; the block is cut there and
-    the next one starts behind it.
+    A window that is not full grows event by event. Once it is full, the events that are
+    accepted are found first; they name the window of every event, and all are scored at once.
     """
     out: list[tuple] = []
-    at, block = 0, SHORTEST_BLOCK
-    while at < len(values):
-        full = len(window) == window.window
-        samples = values[at : at + (block if full else 1)].T
+    at = 0
+    while at < len(values) and (len(window) < window.window or len(window) < warmup):
+        samples = values[at : at + 1].T
+        at += 1
         if len(window) < warmup:
             size = window.append(samples)
             out.append(("WARMING_UP", size, None, None, None, None, None, None, None, None, None))
-            at += 1
             continue
-        known = window.view()
-        line = np.concatenate([known, samples], axis=1)
-        frames = np.lib.stride_tricks.sliding_window_view(line, known.shape[1], axis=1)
-        frames = np.ascontiguousarray(frames[:, : samples.shape[1]])
-        z, mean, worst, size = _verdicts(frames, samples)
-        anomalous = np.flatnonzero(size > Z_THRESHOLD)
-        stop = int(anomalous[0]) + 1 if len(anomalous) else samples.shape[1]
-        accepted = samples[:, : stop - 1] if len(anomalous) else samples
         first = len(window)
-        window.append(accepted)
-        for k in range(stop):
-            flagged = bool(size[k] > Z_THRESHOLD)
-            severity = "NORMAL"
-            if flagged:
-                severity = "CRITICAL" if size[k] >= Z_THRESHOLD * CRITICAL_FACTOR else "WARNING"
-            w = int(worst[k])
-            out.append(
-                (
-                    "SCORED",
-                    first if full or flagged else first + 1,
-                    METRICS[w],
-                    flagged,
-                    min(1.0, float(size[k]) / (Z_THRESHOLD * 2)),
-                    severity,
-                    float(samples[w, k]),
-                    float(mean[w, k]),
-                    *z[:, k].tolist(),
-                )
-            )
-        at += stop
-        block = SHORTEST_BLOCK if len(anomalous) else min(block * 2, LONGEST_BLOCK)
+        z, mean, worst, size = _verdicts(np.ascontiguousarray(window.view()[:, None, :]), samples)
+        if not size[0] > Z_THRESHOLD:
+            window.append(samples)
+        out += _scored_rows(samples, z, mean, worst, size, np.array([first if size[0] > Z_THRESHOLD else first + 1]))
+    rest = values[at:].T
+    if not rest.shape[1]:
+        return out
+    known = window.view().copy()
+    accepted = accepted_events(known, rest)
+    line = np.concatenate([known, rest[:, accepted]], axis=1)
+    if scores:
+        ahead = np.cumsum(accepted) - accepted
+        frames = np.lib.stride_tricks.sliding_window_view(line, known.shape[1], axis=1)
+        for i in range(0, rest.shape[1], SCORED_BLOCK):
+            samples = rest[:, i : i + SCORED_BLOCK]
+            verdicts = _verdicts(np.ascontiguousarray(frames[:, ahead[i : i + SCORED_BLOCK]]), samples)
+            out += _scored_rows(samples, *verdicts, np.full(samples.shape[1], known.shape[1]))
+    window.append(line[:, -known.shape[1] :])
     return out
 
 
+def _scored_rows(samples, z, mean, worst, size, events) -> list[tuple]:
+    at = np.arange(len(worst))
+    columns = worst, size, samples[worst, at], mean[worst, at], events, *z
+    rows = []
+    for w, s, value, middle, n, *each in zip(*[c.tolist() for c in columns], strict=True):
+        flagged = s > Z_THRESHOLD
+        severity = "NORMAL"
+        if flagged:
+            severity = "CRITICAL" if s >= Z_THRESHOLD * CRITICAL_FACTOR else "WARNING"
+        rows.append(
+            ("SCORED", n, METRICS[w], flagged, min(1.0, s / (Z_THRESHOLD * 2)), severity, value, middle, *each)
+        )
+    return rows
+
+
+def accepted_events(known: np.ndarray, samples: np.ndarray) -> np.ndarray:
+    """Which of ``samples`` (metrics x events) enter a full window that begins as ``known``.
+
+    Running sums decide, one event after the other, at a constant cost. What they cannot tell, next to
+    the threshold or where a deviation is small against the values, is scored as in scoring.
+    """
+    size, n = known.shape[1], samples.shape[1]
+    accepted = np.zeros(n, bool)
+    low, high = (Z_THRESHOLD - UNSURE_SCORE) ** 2, (Z_THRESHOLD + UNSURE_SCORE) ** 2
+    at, block = 0, SHORTEST_BLOCK
+    while at < n:
+        # Values are taken from the window's means, and the sums are made anew after a window's length.
+        centre = known.mean(axis=1)
+        with np.errstate(all="ignore"):
+            line = (known - centre[:, None]).T.tolist()
+            events = (samples[:, at : at + RESUMMED] - centre[:, None]).T.tolist()
+        (a, b, c), (aa, bb, cc) = (map(sum, zip(*x, strict=True)) for x in (line, [[v * v for v in row] for row in line]))
+        greatest = [max(abs(v) for v in column) for column in zip(*line, strict=True)]
+        ga, gb, gc = (UNSURE_SPREAD * g * g for g in greatest)
+        first, begun, unsure, spread = 0, at, False, True
+        moved = True
+        for x, y, z in events:
+            if moved:
+                ma, mb, mc = a / size, b / size, c / size
+                va, vb, vc = aa / size - ma * ma, bb / size - mb * mb, cc / size - mc * mc
+                spread, moved = va > ga and vb > gb and vc > gc, False
+            da, db, dc = x - ma, y - mb, z - mc
+            da, db, dc = da * da, db * db, dc * dc
+            if not spread:
+                unsure = True
+                break
+            if da < low * va and db < low * vb and dc < low * vc:
+                accepted[at] = moved = True
+                u, v, w = line[first]
+                first += 1
+                line.append((x, y, z))
+                xx, yy, zz = x * x, y * y, z * z
+                a, b, c = a + x - u, b + y - v, c + z - w
+                aa, bb, cc = aa + xx - u * u, bb + yy - v * v, cc + zz - w * w
+                ga, gb, gc = max(ga, UNSURE_SPREAD * xx), max(gb, UNSURE_SPREAD * yy), max(gc, UNSURE_SPREAD * zz)
+            elif not (da > high * va or db > high * vb or dc > high * vc):
+                unsure = True
+                break
+            at += 1
+        taken = samples[:, begun:at][:, accepted[begun:at]]
+        known = np.concatenate([known, taken], axis=1)[:, -size:]
+        if not unsure:
+            continue
+        # As if all of a block were accepted, up to the first that is anomalous.
+        if spread:
+            block = 1
+        part = samples[:, at : at + block]
+        line = np.concatenate([known, part], axis=1)
+        frames = np.lib.stride_tricks.sliding_window_view(line, size, axis=1)[:, : part.shape[1]]
+        anomalous = np.flatnonzero(_verdicts(np.ascontiguousarray(frames), part)[3] > Z_THRESHOLD)
+        stop = int(anomalous[0]) if len(anomalous) else part.shape[1]
+        accepted[at : at + stop] = True
+        known = line[:, stop : stop + size]
+        at += stop + 1 if len(anomalous) else stop
+        block = SHORTEST_BLOCK if len(anomalous) else min(max(block * 2, SHORTEST_BLOCK), LONGEST_BLOCK)
+    return accepted
+
+
 SHOWN_ROUNDED = (
     "confidence observed_value baseline_mean z_cpu_percent z_memory_percent z_latency_ms".split()
 )
@@ -263,6 +337,14 @@ def _fold_group(pdf: pd.DataFrame, state, carry: Sequence[str] = ()) -> tuple[pd
     return frame.assign(**{c: pdf[c].to_numpy() for c in carry}), window
 
 
+def _end_window(pdf: pd.DataFrame, state) -> RollingWindow:
+    """The window that a fold ends with; its scores are not worked out."""
+    window = RollingWindow(state)
+    values = pdf.sort_values("seq", kind="stable")[list(METRICS)].to_numpy(dtype=float)
+    fold_finite(window, values[np.isfinite(values).all(axis=1)], WARMUP_EVENTS, scores=False)
+    return window
+
+
 def _first_state(starts: pd.DataFrame):
     return starts["state"].iloc[0] if len(starts) else None
 
@@ -335,7 +417,9 @@ def rolling_ingest(
     rounds are the rule. After a change of level a window is frozen, as long as every event is
     anomalous under it; the folds it stays frozen in are found by one aggregation and all run
     from that window in the same round (``frozen_starts``). Agreement of every start with its
-    predecessor's end is what makes the result exact.
+    predecessor's end is what makes the result exact. ``fold_rows`` is the least length of a fold:
+    beyond ``MOST_FOLDS`` of them folds grow, so that many short ones do not take a round for
+    each part of a window.
     """
     ship_package(events.sparkSession)
     base = events.select(
@@ -356,15 +440,15 @@ def rolling_ingest(
     ranked = arrival_rank(base, ["service_name"], "seq", "_pos", split=True)
     # Every round builds on the one before it: written tables, because the estimates and constraints
     # that a checkpoint keeps would grow until planning takes longer than the work.
-    folds = stored(
-        ranked.withColumn("_chunk", F.floor((F.col("_pos") - 1) / F.lit(fold_rows))).drop("_pos"), "folds"
-    )
+    placed = stored(ranked, "folds")
+    fold_rows = max(fold_rows, min(FOLD_ROWS, -(-placed.count() // MOST_FOLDS)))
+    folds = placed.withColumn("_chunk", F.floor((F.col("_pos") - 1) / F.lit(fold_rows))).drop("_pos")
     keys = ["service_name", "_chunk"]
 
     def end_state(key, pdf, starts):
         if pdf.empty:
             return pd.DataFrame({"service_name": [], "_chunk": [], "state": []})
-        _, window = _fold_group(pdf, _first_state(starts))
+        window = _end_window(pdf, _first_state(starts))
         return pd.DataFrame({"service_name": [key[0]], "_chunk": [key[1]], "state": [window.state()]})
 
     def scored(key, pdf, starts):

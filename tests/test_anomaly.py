@@ -288,3 +288,21 @@ def test_rounds_of_short_folds_do_not_grow_their_plans(spark, monkeypatch):
     assert sorted(got, key=lambda r: r.seq) == sorted(want, key=lambda r: r.seq)
     # Each holds at most six windows of 500 events; an estimate that grows with the rounds does not end.
     assert len(sizes) > 2 and max(sizes) < 6 * 500 * 3 * 8 * 2
+
+
+def test_very_many_short_folds_take_few_rounds(spark, monkeypatch):
+    """Folds shorter than the window grow with their number; the rows stay those of one pass."""
+    df = noisy(spark, 6000)
+    rounds, lengths = [], []
+    real = anomaly.frozen_starts
+
+    def spy(folds, changed):
+        rounds.append(1)
+        lengths.append(max(r["count"] for r in folds.groupBy("_chunk").count().collect()))
+        return real(folds, changed)
+
+    monkeypatch.setattr(anomaly, "frozen_starts", spy)
+    monkeypatch.setattr(anomaly, "MOST_FOLDS", 4)
+    split = rows(anomaly.rolling_ingest(df, split=True, fold_rows=50), "seq")
+    assert split == rows(anomaly.rolling_ingest(df, split=False), "seq")
+    assert len(rounds) <= 3 and set(lengths) <= {1500}
